@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+    return {
+        "op2_bpe": bpe.op2_bpe,
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
