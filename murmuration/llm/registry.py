@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, secrets
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_secret_scan": secrets.OP9_SQL}
