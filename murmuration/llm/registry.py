@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, secrets
+from . import bpe, exact_dedup, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scan": secrets.op9_secret_scan,
     }
 
