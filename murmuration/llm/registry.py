@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, packing, quality, secrets, warc
+from . import bpe, exact_dedup, html_extract, packing, ppm, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_warc": warc.op5_warc,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_ppm": ppm.op7_ppm,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_html_extraction": html_extract.op10_html_extraction,
