@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, packing, ppm, quality, secrets, warc
+from . import bpe, exact_dedup, html_extract, packing, ppm, quality, secrets, suffixes, warc
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_sparse_suffix_arrays": suffixes.op4_sparse_suffix_arrays,
         "op5_warc": warc.op5_warc,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_ppm": ppm.op7_ppm,
