@@ -1,0 +1,29 @@
+"""Connected components of links, by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged
+
+
+def components(links: DataFrame, name: str = "labels") -> DataFrame:
+    """(node, label) of each node in links (a, b); label is the least node of its component.
+
+    Each round takes the least label among a node's neighbours, hooks the old label to it and jumps to the label's label; every
+    table is aggregated before it moves, rounds follow the logarithm of the diameter, and each is written to the shared folder.
+    """
+    both = staged(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), name + "-links")
+    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), name)
+    while True:
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(seen, labels["node"] == seen["a"]).select("node", "label", F.least("label", "near").alias("near"))
+        # a label's own node follows the least label that any of its nodes sees
+        hooks = step.groupBy("label").agg(F.min("near").alias("hook")).withColumnRenamed("label", "of")
+        step = step.join(hooks, step["near"] == hooks["of"], "left").join(hooks.select(F.col("of").alias("own"), F.col("hook").alias("mine")), F.col("label") == F.col("own"), "left")
+        new = F.least("near", F.coalesce("hook", "near"), F.coalesce("mine", "near"))
+        after = staged(step.select("node", new.alias("label"), (new != F.col("label")).alias("moved")), name)
+        labels = after.select("node", "label")
+        if after.filter("moved").isEmpty():
+            return labels

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, lookup_join, new_path, read_table, staged
+from .common import lookup_join, new_path, read_table, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a memtable; bounds a task's memory (about 100 bytes a row).
@@ -130,6 +130,14 @@ def _by_text(text: DataFrame, digest, found: DataFrame, wrong: DataFrame, keep:
     return found.join(wrong, "digest", "left_anti").unionByName(bad.join(groups, "t").drop("t"))
 
 
+def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The row of docs that stays of equal texts, with docs' columns; repeated rows of it count once."""
+    stays = exact_dedup(docs, keep).filter("kept").select(F.col("doc_id").alias("stays_id"), "text_sha256")
+    keyed = docs.withColumn("exact_dedup_sha_", sha256_digest(normalised(F.col("text"))))
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["stays_id"]) & (keyed["exact_dedup_sha_"] == stays["text_sha256"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "exact_dedup_sha_"]).drop("exact_dedup_sha_")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest").drop("row")
 

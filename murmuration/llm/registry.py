@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, packing, ppm, quality, secrets, suffixes, warc
+from . import bpe, exact_dedup, html_extract, near_dedup, packing, ppm, quality, secrets, suffixes, warc
 
 
 def queries() -> dict:
     return {
+        "op1_order_minhash": near_dedup.op1_order_minhash,
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_sparse_suffix_arrays": suffixes.op4_sparse_suffix_arrays,

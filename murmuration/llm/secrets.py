@@ -202,18 +202,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret in text replaced by mark, by rule in order; null text stays null. Other columns stay."""
+    """docs with each stretch of secret_spans in text replaced by mark, overlapping ones together; null text stays null.
+
+    A column n_chars follows the text; other columns stay.
+    """
     found = scan(docs, rules)
     text = F.col("text")
-    for i, rule in enumerate(rules):
-        # only matches that count are replaced: short ones don't satisfy the expression with its least length
-        pattern = rule.pattern
-        if rule.least and rule.group:
-            pattern = pattern[: pattern.rindex("+)")] + "{%d,})" % rule.least
-        elif rule.least and pattern.endswith("+"):
-            pattern = pattern[:-1] + "{%d,}" % (rule.least - 4)
-        text = F.when(F.exists("secret_spans", lambda x, i=i: x["kind"] == i), F.regexp_replace(text, pattern, mark)).otherwise(text)
-    return found.withColumn("text", text).drop("secret_spans")
+
+    def step(acc: Column, x: Column) -> Column:
+        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
