@@ -11,7 +11,7 @@ from murmuration.functions.scalars import clamp, isoformat, micros
 from murmuration.operators.graph import communities, community_density, overlap_edges
 from murmuration.operators.hits import GROUP, Context, make_hits, percent, register, strong_if
 from murmuration.session import written
-from murmuration.operators.kernels import greedy_clusters, shares_run_udf, simhash_udf
+from murmuration.operators.kernels import anchors_udf, greedy_clusters, shares_run_udf, simhash_udf
 from murmuration.sources.dataset import Dataset
 
 #: Members that a hit's evidence and its propagation hold.
@@ -83,16 +83,21 @@ def cluster_candidates(data: Dataset, min_chars: int, max_per_topic: int | None)
 def similar_pairs(candidates: DataFrame, stopwords: frozenset[str], similarity: float, lcs_ratio: float) -> DataFrame:
     """(topic, i, j) of ranks i < j whose fingerprints are similar and whose texts share a long run.
 
-    The cheap bit count is part of the join; only pairs that pass it carry their texts on.
+    Texts meet by topic and anchor, which texts with such a run share, and not by topic alone. The cheap bit count is part
+    of the join; only pairs that pass it fetch their texts.
     """
-    prints = written(candidates.withColumn("print", simhash_udf(T.tokens(F.col("text"), stopwords))), "prints")
-    side = lambda x: prints.select("topic", F.col("rank").alias(x), F.col("text").alias(f"text_{x}"), F.col("print").alias(f"print_{x}"))
+    shown = ["topic", "rank", "print", F.length("text").alias("size")]
+    prints = written(candidates.withColumn("print", simhash_udf(T.tokens(F.col("text"), stopwords))).select(*shown, anchors_udf(F.col("text"), lcs_ratio).alias("anchors")), "prints")
+    keyed = prints.select("topic", "rank", "print", "size", F.explode("anchors").alias("k")).select("topic", "rank", "print", "size", "k.scale", "k.hash")
+    side = lambda x: keyed.select("topic", "scale", "hash", F.col("rank").alias(x), F.col("print").alias(f"print_{x}"), F.col("size").alias(f"size_{x}"))
     most = next(d for d in range(64, -1, -1) if 1 - d / 64 >= similarity) if similarity > 0 else 64
     near = (F.bit_count(F.col("print_i").bitwiseXOR(F.col("print_j"))) <= most) & ~((F.col("print_i") == 0) & (F.col("print_j") == 0)) if similarity > 0 else F.lit(True)
     # a run of lcs_ratio of the longer text must fit in the shorter one
-    fits = F.least(F.length("text_i"), F.length("text_j")) >= F.greatest(F.length("text_i"), F.length("text_j")) * F.lit(lcs_ratio) - F.lit(1e-9)
-    met = side("i").join(side("j"), "topic").filter((F.col("i") < F.col("j")) & near & fits)
-    return met.filter(shares_run_udf(F.col("text_i"), F.col("text_j"), lcs_ratio)).select("topic", "i", "j")
+    fits = F.least("size_i", "size_j") >= F.greatest("size_i", "size_j") * F.lit(lcs_ratio) - F.lit(1e-9)
+    met = side("i").join(side("j"), ["topic", "scale", "hash"]).filter((F.col("i") < F.col("j")) & near & fits).select("topic", "i", "j").distinct()
+    texts = lambda x: candidates.select("topic", F.col("rank").alias(x), F.col("text").alias(f"text_{x}"))
+    pairs = met.join(texts("i"), ["topic", "i"]).join(texts("j"), ["topic", "j"])
+    return pairs.filter(shares_run_udf(F.col("text_i"), F.col("text_j"), lcs_ratio)).select("topic", "i", "j")
 
 
 def clusters(data: Dataset, stopwords: frozenset[str], similarity: float, lcs_ratio: float, min_cluster: int, min_actors: int, min_chars: int, max_per_topic: int | None) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 
 def simhash(toks: list[str]) -> int:
@@ -74,6 +74,49 @@ def shares_run_udf(a: Column, b: Column, ratio: float) -> Column:
     return run(a, b)
 
 
+def anchors(text: str, ratio: float) -> list[tuple[int, int]]:
+    """(scale, hash) keys of which two texts share one if they share a run of ratio of the longer one's length.
+
+    A text of 2^s characters or more takes part at scale s and those above at which a longer partner may be. At a scale,
+    any run of ratio * 2^scale characters holds the same minimiser of shorter grams in both texts.
+    """
+    n = len(text)
+    if not n or ratio <= 0:
+        return [(0, 0)]
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    powers, back = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+    powers[0] = back[0] = 1
+    back = np.multiply.accumulate(back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(codes * np.multiply.accumulate(powers))])
+    own = n.bit_length() - 1
+    out: list[tuple[int, int]] = []
+    scale = own
+    while int(ratio * (1 << scale)) <= n and scale <= own + 64:
+        run = max(1, int(ratio * (1 << scale)))
+        gram = max(1, run // 2)
+        starts = np.arange(n - gram + 1)
+        h = (sums[starts + gram] - sums[starts]) * back[starts]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        window = run - gram + 1
+        at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
+        out += [(scale, int(x)) for x in np.unique(h[np.unique(at)]).view(np.int64)]
+        scale += 1
+    return out
+
+
+ANCHORS = ArrayType(StructType([StructField("scale", IntegerType()), StructField("hash", LongType())]))
+
+
+def anchors_udf(text: Column, ratio: float) -> Column:
+    @F.pandas_udf(ANCHORS)
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: [{"scale": s, "hash": h} for s, h in anchors(t or "", ratio)])
+
+    return run(text)
+
+
 def greedy_clusters(edges: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """(leader, member) pairs of a greedy pass in rank order over edges (i, j) with i < j.
 
