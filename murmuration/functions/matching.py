@@ -42,9 +42,14 @@ def find_all(text: Column, rules: RuleBook) -> Column:
     kind = "array<struct<end:int,start:int,pattern:string,tag:string>>"
 
     def places(pattern: str, tag: str) -> Column:
-        n = len(pattern)
-        at = F.filter(F.transform(F.sequence(F.lit(0), F.length(low) - n), lambda i: F.when(F.substring(low, i + 1, n) == pattern, i)), lambda i: i.isNotNull())
-        rows = F.transform(at, lambda i: F.struct((i + n).alias("end"), i.alias("start"), F.lit(pattern).alias("pattern"), F.lit(tag).alias("tag")))
+        # cut before each occurrence, overlapping ones too; positions are the lengths so far
+        parts = F.split(low, r"(?=\Q" + pattern + r"\E)", -1)
+
+        def step(acc: Column, part: Column) -> Column:
+            one = F.struct((acc["at"] + len(pattern)).alias("end"), acc["at"].alias("start"), F.lit(pattern).alias("pattern"), F.lit(tag).alias("tag"))
+            return F.struct((acc["at"] + F.length(part)).alias("at"), F.when(F.startswith(part, F.lit(pattern[:1])) & F.contains(F.substring(low, acc["at"] + 1, len(pattern)), F.lit(pattern)), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+        rows = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
         return F.when(F.contains(low, F.lit(pattern)), rows).otherwise(F.array().cast(kind))
 
     return F.array_sort(F.concat(*[places(p, t) for p, t in rules.patterns])) if rules.patterns else F.array().cast(kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ HALF = "".join(map(chr, _ASCII)) + " "
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c's value, which is found once however often body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -57,16 +62,21 @@ def chars(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: F.length(x) > 0)
 
 
-def grams(letters: Column, k: int) -> Column:
-    """Joined runs of k elements of an array, in order; none if there are fewer."""
-    pieces = lambda i: F.concat(*[F.get(letters, i + j) for j in range(k)])
-    return F.when(F.size(letters) >= k, F.transform(F.sequence(F.lit(0), F.size(letters) - k), pieces)).otherwise(F.array().cast("array<string>"))
+def grams(letters: Column, k: int, separator: str = "") -> Column:
+    """Joined runs of k elements of an array, in order; none if there are fewer.
+
+    Shifted copies are zipped, so no element of the result looks the whole array up again.
+    """
+    n = F.greatest(F.size(letters) - (k - 1), F.lit(0))
+    out = F.slice(letters, 1, n)
+    for i in range(1, k):
+        out = F.zip_with(out, F.slice(letters, i + 1, n), lambda x, y: F.concat(x, F.lit(separator), y))
+    return out
 
 
 def tokens(c: Column, stopwords: Iterable[str] = ()) -> Column:
     """Character bigrams of the normalised text without white space (a lone character is a token), less stopwords."""
-    letters = chars(without_space(normalize(c)))
-    found = F.when(F.size(letters) == 1, letters).otherwise(grams(letters, 2))
+    found = let(chars(without_space(normalize(c))), lambda x: F.when(F.size(x) == 1, x).otherwise(grams(x, 2)))
     stop = sorted({w for w in stopwords if len(w) <= 2})
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
@@ -80,16 +90,13 @@ def ngrams(toks: Column, n: int) -> Column:
 
 def joined_ngrams(toks: Column, n: int, separator: str = "\x1f") -> Column:
     """Runs of n tokens as texts, which hash and compare faster than arrays."""
-    if n <= 0:
-        return F.array().cast("array<string>")
-    pieces = lambda i: F.concat_ws(separator, *[F.get(toks, i + j) for j in range(n)])
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n), pieces)).otherwise(F.array().cast("array<string>"))
+    return grams(toks, n, separator) if n > 0 else F.array().cast("array<string>")
 
 
 def repeat_ratio(toks: Column, n: int = 3) -> Column:
     """Share of n-grams that repeat earlier ones; 0 for fewer than four n-grams."""
-    g = joined_ngrams(toks, n)
-    return F.when(F.size(g) < 4, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    ratio = lambda g: F.when(F.size(g) < 4, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return let(toks, lambda t: let(joined_ngrams(t, n), ratio))
 
 
 def max_run(c: Column) -> Column:
@@ -100,16 +107,16 @@ def max_run(c: Column) -> Column:
 
 def top_char(c: Column) -> Column:
     """struct<n, place, char> of the most frequent character, the first seen of even ones; null for the empty text."""
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(chars(c)), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
-    best = F.array_min(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), F.call_function("instr", c, F.substring(r, 1, 1)).alias("place"), F.substring(r, 1, 1).alias("char"))))
-    return F.when(best.isNotNull(), F.struct((-best["n"]).alias("n"), best["place"].alias("place"), best["char"].alias("char")))
+    runs = lambda t: F.regexp_extract_all(F.array_join(F.array_sort(chars(t)), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    best = let(c, lambda t: F.array_min(F.transform(runs(t), lambda r: F.struct((-F.length(r)).alias("n"), F.call_function("instr", t, F.substring(r, 1, 1)).alias("place"), F.substring(r, 1, 1).alias("char")))))
+    return let(best, lambda best: F.when(best.isNotNull(), F.struct((-best["n"]).alias("n"), best["place"].alias("place"), best["char"].alias("char"))))
 
 
 def shingles(c: Column, k: int = 5) -> Column:
     """Distinct runs of k characters of the normalised text; a shorter text is its own."""
-    s = normalize(c)
-    letters = chars(s)
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < k, F.array(s)).otherwise(F.array_distinct(grams(letters, k)))
+    few = F.array().cast("array<string>")
+    many = lambda s: F.array_distinct(let(chars(s), lambda x: grams(x, k)))
+    return let(normalize(c), lambda s: F.when(F.length(s) == 0, few).when(F.length(s) < k, F.array(s)).otherwise(many(s)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -128,12 +135,15 @@ def shares_run(a: Column, b: Column, ratio: float) -> Column:
 
 def entropy(toks: Column) -> Column:
     """Shannon entropy in bits of a row's tokens; 0 for none."""
-    texts = F.array_sort(toks)
-    # a run of equal tokens ends where the next one differs
-    ends = F.filter(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: ~F.coalesce(F.get(texts, i).eqNullSafe(F.get(texts, i + 1)), F.lit(False)))
-    n = F.size(texts)
-    sizes = F.zip_with(ends, F.slice(F.concat(F.array(F.lit(-1)), ends), 1, F.size(ends)), lambda a, b: (a - b).cast("double"))
-    return F.when(n == 0, F.lit(0.0)).otherwise(-F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x / n * F.log2(x / n)))
+    add = lambda acc, n: acc + F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x.eqNullSafe(acc["last"])
+        return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, acc["sum"]).otherwise(add(acc["sum"], acc["run"])).alias("sum"))
+
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    total = lambda t: F.aggregate(F.array_sort(t), start, step, lambda acc: add(acc["sum"], acc["run"]))
+    return let(toks, lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.log2(F.size(t)) - total(t) / F.size(t)))
 
 
 def preview(c: Column, size: int = 40) -> Column:

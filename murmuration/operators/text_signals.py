@@ -19,9 +19,19 @@ def template_measures(items: DataFrame, stopwords: frozenset[str] = frozenset(),
 def repeated_phrases(toks: Column, n: int, most: int = 3) -> Column:
     """The most frequent n-grams that occur twice or more, joined; of even ones the first seen."""
     g = T.joined_ngrams(toks, n, "")
-    distinct = F.array_distinct(g)
-    counted = F.transform(distinct, lambda x: F.struct((-F.size(F.filter(g, lambda y: y == x))).alias("n"), F.array_position(g, x).alias("at"), x.alias("phrase")))
-    return F.transform(F.slice(F.array_sort(F.filter(counted, lambda s: s["n"] < -1)), 1, most), lambda s: s["phrase"])
+    rows = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("phrase"), i.alias("at"))))
+    best = "array<struct<n:int,at:int,phrase:string>>"
+
+    def kept(acc: Column) -> Column:
+        one = F.array(F.struct((-acc["run"]).alias("n"), acc["first"].alias("at"), acc["last"].alias("phrase")))
+        return F.when(acc["run"] > 1, F.slice(F.array_sort(F.concat(acc["best"], one)), 1, most)).otherwise(acc["best"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x["phrase"].eqNullSafe(acc["last"])
+        return F.struct(x["phrase"].alias("last"), F.when(same, acc["first"]).otherwise(x["at"]).alias("first"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"), F.when(same, acc["best"]).otherwise(kept(acc)).alias("best"))
+
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("first"), F.lit(0).alias("run"), F.array().cast(best).alias("best"))
+    return F.transform(F.aggregate(rows, start, step, kept), lambda x: x["phrase"])
 
 
 @register("text.template", ITEM, "One text repeats the same n-grams")

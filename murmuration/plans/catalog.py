@@ -215,9 +215,9 @@ GRID = [("1693526400",), ("1693526400000",), ("2023-09-01T00:00:00Z",), ("2023-0
 TIMES = [1693526400, 1693526400, 1693526400, 1693526400, 1693571400, 1693571400, 1693571400, 1693526400, 20230901, 1693526400, None, None, None]
 
 
-@query("parse_time_grid", "SELECT raw, seconds::BIGINT AS seconds FROM (VALUES " + ", ".join(f"({'NULL' if r is None else repr(r)}, {'NULL' if s is None else s})" for (r,), s in zip(GRID, TIMES)) + ") AS g(raw, seconds)")
+@query("parse_time_grid", "SELECT raw, seconds::VARCHAR AS seconds FROM (VALUES " + ", ".join(f"({'NULL' if r is None else repr(r)}, {'NULL' if s is None else s})" for (r,), s in zip(GRID, TIMES)) + ") AS g(raw, seconds)")
 def parse_time_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(GRID, "raw string").select("raw", F.unix_seconds(S.parse_time(F.col("raw"))).alias("seconds"))
+    return spark.createDataFrame(GRID, "raw string").select("raw", F.unix_seconds(S.parse_time(F.col("raw"))).cast("string").alias("seconds"))
 
 
 @query("parse_event_times", "SELECT event_id, epoch_us(ts) AS us FROM events")
@@ -332,8 +332,8 @@ def signal_burst(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(_hits("coordination.burst", tables.events(spark, folder)))
 
 
-EDGES = """at AS (SELECT DISTINCT user_id::VARCHAR AS actor, strftime(ts, '%Y-%m-%d') || ' ' || event_type AS topic FROM events), sz AS (SELECT actor, count(*) AS n FROM at GROUP BY actor),
-edges AS (SELECT x.actor AS a, y.actor AS b, count(*) AS shared, any_value(p.n + q.n) - count(*) AS total FROM at x JOIN at y ON x.topic = y.topic AND x.actor < y.actor JOIN sz p ON p.actor = x.actor JOIN sz q ON q.actor = y.actor
+EDGES = """ats AS (SELECT DISTINCT user_id::VARCHAR AS actor, strftime(ts, '%Y-%m-%d') || ' ' || event_type AS topic FROM events), sz AS (SELECT actor, count(*) AS n FROM ats GROUP BY actor),
+edges AS (SELECT x.actor AS a, y.actor AS b, count(*) AS shared, any_value(p.n + q.n) - count(*) AS total FROM ats x JOIN ats y ON x.topic = y.topic AND x.actor < y.actor JOIN sz p ON p.actor = x.actor JOIN sz q ON q.actor = y.actor
   GROUP BY ALL HAVING count(*) >= 3 AND count(*)::DOUBLE / (any_value(p.n + q.n) - count(*)) >= 0.3)"""
 
 
@@ -346,8 +346,8 @@ def cooccur_edges(spark: SparkSession, folder: str) -> DataFrame:
     return _edges(spark, folder)
 
 
-@query("supplier_edges", """WITH at AS (SELECT DISTINCT l_suppkey::VARCHAR AS actor, l_partkey::VARCHAR AS topic FROM lineitem), sz AS (SELECT actor, count(*) AS n FROM at GROUP BY actor)
-SELECT x.actor AS a, y.actor AS b, count(*) AS shared, (any_value(p.n + q.n) - count(*))::BIGINT AS total FROM at x JOIN at y ON x.topic = y.topic AND x.actor < y.actor JOIN sz p ON p.actor = x.actor JOIN sz q ON q.actor = y.actor
+@query("supplier_edges", """WITH ats AS (SELECT DISTINCT l_suppkey::VARCHAR AS actor, l_partkey::VARCHAR AS topic FROM lineitem), sz AS (SELECT actor, count(*) AS n FROM ats GROUP BY actor)
+SELECT x.actor AS a, y.actor AS b, count(*) AS shared, (any_value(p.n + q.n) - count(*))::BIGINT AS total FROM ats x JOIN ats y ON x.topic = y.topic AND x.actor < y.actor JOIN sz p ON p.actor = x.actor JOIN sz q ON q.actor = y.actor
 GROUP BY ALL HAVING count(*) >= 3 AND count(*)::DOUBLE / (any_value(p.n + q.n) - count(*)) >= 0.16""")
 def supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_edges(coordination.topic_pairs(tables.supplied_parts(spark, folder)), 3, 0.16)
@@ -368,7 +368,7 @@ def cooccur_communities(spark: SparkSession, folder: str) -> DataFrame:
 @query("edge_density", f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
 c AS (SELECT node, min(other) AS community FROM reach GROUP BY node), s AS (SELECT community, count(*) AS size FROM c GROUP BY community)
-SELECT community, size, count(*) AS inside, round(count(*) / (size * (size - 1) / 2), 6) AS density FROM edges JOIN c ON c.node = edges.a JOIN s USING (community) GROUP BY ALL""")
+SELECT community, any_value(size) AS size, count(*) AS inside, round(count(*) / (any_value(size) * (any_value(size) - 1) / 2), 6) AS density FROM edges JOIN c ON c.node = edges.a JOIN s USING (community) GROUP BY community""")
 def edge_density(spark: SparkSession, folder: str) -> DataFrame:
     edges = written(_edges(spark, folder), "edges")
     parts = connected_components(edges).withColumnRenamed("component", "community")
@@ -504,9 +504,9 @@ def _text_assessed(spark: SparkSession, folder: str) -> DataFrame:
 # ---- evaluation ----
 
 
-@query("confusion_matrix", f"""WITH {RATIO}, s AS ({TEMPLATE}), g AS (SELECT doc_id::VARCHAR AS target, bool_or(quality = 0) AS positive FROM labels GROUP BY ALL), x AS (SELECT d.item_id, coalesce(positive, false) AS gold, s.target IS NOT NULL AND least(100.0, s.score * CASE s.level WHEN 'strong' THEN 1.5 ELSE 1.0 END * 0.9 * 25) >= 20 OR coalesce(s.level, '') = 'strong' AS said
-  FROM d LEFT JOIN s ON s.target = d.item_id LEFT JOIN g ON g.target = d.item_id)
-SELECT count(*) FILTER (gold AND said) AS tp, count(*) FILTER (NOT gold AND said) AS fp, count(*) FILTER (gold AND NOT said) AS fn, count(*) FILTER (NOT gold AND NOT said) AS tn FROM x""")
+@query("confusion_matrix", f"""WITH {RATIO}, s AS ({TEMPLATE}), gold AS (SELECT doc_id::VARCHAR AS target, bool_or(quality = 0) AS positive FROM labels GROUP BY ALL), x AS (SELECT d.item_id, coalesce(positive, false) AS is_gold, s.target IS NOT NULL AND least(100.0, s.score * CASE s.level WHEN 'strong' THEN 1.5 ELSE 1.0 END * 0.9 * 25) >= 20 OR coalesce(s.level, '') = 'strong' AS said
+  FROM d LEFT JOIN s ON s.target = d.item_id LEFT JOIN gold ON gold.target = d.item_id)
+SELECT count(*) FILTER (is_gold AND said) AS tp, count(*) FILTER (NOT is_gold AND said) AS fp, count(*) FILTER (is_gold AND NOT said) AS fn, count(*) FILTER (NOT is_gold AND NOT said) AS tn FROM x""")
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
     data = tables.documents(spark, folder)
     targets = data.items.select(F.lit("item").alias("target_kind"), F.col("item_id").alias("target"))
