@@ -156,13 +156,12 @@ def md5_simhash(toks: Column) -> Column:
     """64-bit SimHash of a row's tokens by md5, without Python: a bit is set if most tokens have it; no tokens give 0."""
     high = lambda t, a: F.conv(F.substring(F.md5(t), a, 8), 16, 10).cast("long")
     words = F.transform(toks, lambda t: F.shiftleft(high(t, 1), 32).bitwiseOR(high(t, 9)))
-    n = F.size(words)
 
-    def bit(i: int) -> Column:
-        set_ = F.size(F.filter(words, lambda w: F.getbit(w, F.lit(i)) == 1)) * 2 > n
+    def bit(w: Column, i: int) -> Column:
+        set_ = F.size(F.filter(w, lambda x: F.getbit(x, F.lit(i)) == 1)) * 2 > F.size(w)
         return F.when(set_, F.lit((1 << i) - ((1 << 64) if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    return reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(64)))
+    return let(words, lambda w: reduce(lambda a, b: a.bitwiseOR(b), [bit(w, i) for i in range(64)]))
 
 
 def hamming(a: Column, b: Column) -> Column:
