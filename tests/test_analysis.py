@@ -103,8 +103,8 @@ def test_scoring_and_propagation(spark):
     assert found["y"].promoted and found["y"].level == "weak" and found["z"].level == "clean"
     burst = [(f"u{i}", f"background {i}", i * 180, "t") for i in range(40)] + [(f"f{i}", f"short text number {i}", 9000 + 2 * i, "b") for i in range(8)]
     result = Pipeline().run(items(spark, burst))
-    assert {r.target for r in result.hits.filter("signal like '%#member'").collect()} == {f"f{i}" for i in range(8)}
-    assert result.summary["flagged_by_kind"]["group"] == 1
+    assert {r.target for r in result.hits.filter("signal = 'coordination.burst#member'").collect()} == {f"f{i}" for i in range(8)}
+    assert result.summary["flagged_by_kind"]["group"] >= 1
 
 
 def test_config_and_metrics():
