@@ -26,7 +26,7 @@ K, SKETCHES, SAMPLED, SIMILARITY = 5, 24, 3, 0.8
 #: than 3 with a probability of 1e-5.
 COMMON = 3
 #: Rounds with other leaders before the sweep, texts compared with one copy of a leader's, and documents of a block of the sweep.
-ROUNDS, SALT_ROWS, BLOCK = 2, 500, 1024
+ROUNDS, SALT_ROWS, BLOCK = 2, 500, 16384
 U = np.uint64
 SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | U(1)
 
