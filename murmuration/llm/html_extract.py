@@ -19,13 +19,17 @@ from .common import lookup_join, read_table, staged
 
 #: Winning paths are broadcast up to so many hosts; beyond, only those of hot hosts are and the rest is joined.
 BROADCAST_HOSTS = 20_000
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object"
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""", re.S)
+#: Their text holds no tags and is dropped. It goes on to the end tag, or to the end of the page.
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+#: Dropped with what they hold; one that closes itself, or that no end tag follows, holds nothing.
+EMBEDDED = frozenset("svg object select iframe noscript template annotation annotation-xml".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW | EMBEDDED}
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body article main section div td center dd figure".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt th tr table thead tbody tfoot blockquote pre figcaption header footer nav aside form address hr details summary fieldset head hgroup menu dialog caption option".split())
-DROPPED = frozenset("nav header footer aside form head menu dialog button label fieldset".split())
+DROPPED = frozenset("nav header footer aside form head menu dialog button label fieldset option".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup login form search share sharing social comment comments disqus reply replies respond discussion related recommended recommendations widget pager pagination toolbar skip copyright legal alert".split()
 )
@@ -51,6 +55,7 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     text: list[str] = []
     linked = 0
     at = 0
+    last_ends: dict[str, int] = {}
 
     def end_block() -> None:
         nonlocal linked
@@ -81,38 +86,52 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             if stack[-1].link:
                 linked += len(chunk)
 
-    for m in TOKEN.finditer(page):
+    def ends_after(tag: str, start: int) -> bool:
+        if tag not in last_ends:
+            last_ends[tag] = max((e.start() for e in END[tag].finditer(page)), default=-1)
+        return last_ends[tag] >= start
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = (m.group(3) or "").lower()
+        tag = (m.group(2) or "").lower()
         if not tag:
             if m.group(0).startswith("<![CDATA["):
                 add(m.group(0)[9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
+        empty = not m.group(1) and m.group(3).endswith("/")
+        if tag in RAW and not m.group(1):
+            if empty and (any(e.tag in ("svg", "math") for e in stack) or not ends_after(tag, at)):
+                continue
+            end = END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCKS:
             end_block()
-        if m.group(2):
+        if m.group(1):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
+                if tag not in BLOCKS and tag not in EMBEDDED and stack[i].tag in BLOCKS:
                     break
             continue
+        if tag in BLOCKS:
+            _close(stack, {"svg", "option"}, {"foreignobject"})
         if tag in IN_P:
             _close(stack, {"p"}, BLOCKS - {"p"})
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        if tag in VOID:
+        if tag in VOID or (tag in EMBEDDED or tag == "math") and empty or tag in EMBEDDED and not ends_after(tag, at):
             continue
         top = stack[-1]
-        names, dropped = "", top.dropped or tag in DROPPED
-        if tag in BLOCKS or m.group(4):
-            names, bad = _names(m.group(4))
+        names, dropped = "", top.dropped or tag in DROPPED or tag in EMBEDDED
+        if tag in BLOCKS or m.group(3):
+            names, bad = _names(m.group(3))
             dropped = dropped or (bad and tag not in ("html", "body"))
         path = f"{top.path}/{tag}{names}" if tag in BLOCKS else top.path
         new = Element(tag, path, dropped, top.link or tag == "a", top, len(containers))

@@ -165,6 +165,22 @@ def test_html(spark):
     assert found == {1: "Head & more\nOne two\nThree <x>", 2: "", 3: "plain words"}
 
 
+@pytest.mark.parametrize(
+    "between",
+    [
+        '<svg class="i"/>', "<math/>", '<svg-icon name="x"></svg-icon>', "<object-x>", "<object data='o'>", "<select><option>a", "<iframe src='f' />", "<title-bar></title-bar>",
+        "<svg><title/><style/><path d='m'/></svg>", "<svg><path d='m'>", "<div><object><p>f</object></div>", "<div><select><option>a</div>", "<svg><title>x</title><text>y</text></svg>", "<script>'<svg>'</script >", "<template><p>x</p></template>",
+    ],
+)
+def test_html_goes_on_after_embedded_elements(between):
+    assert html_extract.extract(f"<body><p>one</p>{between}<p>two</p></body>", None) == "one\ntwo"
+
+
+def test_html_keeps_formulas():
+    page = "<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> holds</p>"
+    assert html_extract.extract(page, None) == "where x=2 holds"
+
+
 def test_ppm_shares_sum_to_one():
     from murmuration.llm import ppm
 
