@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of their blocks outside links and boilerplate; the best one's path of
-generalised tags and classes is a vote of its host. Spark counts the votes per host, and every page is extracted again
-from the containers on its host's winning path, or from its own best container where that path has no text.
+generalised tags and classes is a vote of its host, after a climb to the ancestor that holds what its siblings add.
+Spark counts the votes per host, and every page is extracted again from the containers on its host's winning path with
+the same climb, or from its own best container where that path has less than half of that one's text.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 IN_P = BLOCKS - frozenset("option head caption".split())
 NAME = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters outside links from which a block that isn't a heading makes the container of its siblings grow.
+CONTENT = 25
 
 
 class Element:
@@ -47,11 +51,23 @@ class Element:
         self.tag, self.path, self.dropped, self.link, self.parent, self.score, self.number = tag, path, dropped, link, parent, 0.0, number
 
 
-def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
+class Block:
+    __slots__ = ("home", "text", "plain", "heading")
+
+    def __init__(self, home: Element, text: str, plain: int, heading: str) -> None:
+        self.home, self.text, self.plain, self.heading = home, text, plain, heading
+
+    @property
+    def content(self) -> bool:
+        """Whether it is a heading or some text, and not mostly links."""
+        return self.plain * 2 >= len(self.text) and (bool(self.heading) or self.plain >= CONTENT)
+
+
+def parse(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks of text outside boilerplate in page order, each with its container, and the containers."""
     root = Element("", "", False, False, None, 0)
     stack, containers = [root], [root]
-    blocks: list[tuple[Element, str]] = []
+    blocks: list[Block] = []
     text: list[str] = []
     linked = 0
     at = 0
@@ -65,7 +81,8 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
                 home = stack[-1]
                 while home.tag not in CONTAINERS and home.parent is not None:
                     home = home.parent
-                blocks.append((home, joined))
+                heading = next((e.tag for e in reversed(stack) if e.tag in HEADINGS), "")
+                blocks.append(Block(home, joined, max(0, len(joined) - linked), heading))
                 gain = max(0.0, len(joined) - 1.5 * linked)
                 if home.tag in ("article", "main"):
                     gain *= 1.25
@@ -172,25 +189,64 @@ def best_container(containers: list[Element]) -> Element:
     return max(containers, key=lambda e: (e.score, -e.number))
 
 
+def within(block: Block, homes: dict[int, int]) -> int | None:
+    """The value in homes of the block's nearest element there."""
+    e: Element | None = block.home
+    while e is not None:
+        if id(e) in homes:
+            return homes[id(e)]
+        e = e.parent
+    return None
+
+
+def climb(e: Element, blocks: list[Block]) -> Element:
+    """The least container of e that holds all content blocks of its outermost article or main, or of the page if it has none."""
+    chain, top = [], 0
+    x: Element | None = e
+    while x is not None:
+        if x.tag in CONTAINERS or x.parent is None:
+            chain.append(x)
+            if x.tag in ("article", "main"):
+                top = len(chain)
+        x = x.parent
+    chain = chain[: top or None]
+    place = {id(x): i for i, x in enumerate(chain)}
+    return chain[max((i for b in blocks if b.content and (i := within(b, place)) is not None), default=0)]
+
+
+def whole(starts: list[Element], blocks: list[Block]) -> list[Block]:
+    """Blocks of the containers that starts climb to; of other articles too if these are in one, and a title beside it."""
+    homes = {id(top): 0 for top in (climb(e, blocks) for e in starts)}
+    chosen = [within(b, homes) is not None for b in blocks]
+    tags = [ancestors(b.home) for b in blocks]
+    inside = [t for t, c in zip(tags, chosen) if c]
+    if inside and all("article" in t and "main" not in t for t in inside):
+        titled = any(b.heading == "h1" for b, c in zip(blocks, chosen) if c)
+        chosen = [c or "article" in t or (b.heading == "h1" and b.content and not titled) for b, c, t in zip(blocks, chosen, tags)]
+    return [b for b, c in zip(blocks, chosen) if c]
+
+
+def ancestors(e: Element | None) -> set[str]:
+    """The tags of e and of the elements that hold it."""
+    found = set()
+    while e is not None:
+        found.add(e.tag)
+        e = e.parent
+    return found
+
+
 def extract(page: str, path: str | None) -> str:
     """Blocks of the containers on path, or of the page's best container, joined by one newline."""
     blocks, containers = parse(page)
     if not blocks:
         return ""
-
-    def inside(homes: set[int]) -> list[str]:
-        out = []
-        for home, t in blocks:
-            e: Element | None = home
-            while e is not None:
-                if id(e) in homes:
-                    out.append(t)
-                    break
-                e = e.parent
-        return out
-
-    found = inside({id(e) for e in containers if e.path == path}) if path is not None else []
-    return "\n".join(found or inside({id(best_container(containers))}))
+    found = whole([best_container(containers)], blocks)
+    if path is not None:
+        voted = [e for e in containers if e.path == path]
+        homes = dict.fromkeys(map(id, voted), 0)
+        if voted and 2 * sum(b.plain for b in blocks if within(b, homes) is not None) >= sum(b.plain for b in found):
+            found = whole(voted, blocks)
+    return "\n".join(b.text for b in found)
 
 
 def vote(pages: DataFrame) -> DataFrame:
@@ -200,9 +256,10 @@ def vote(pages: DataFrame) -> DataFrame:
         for df in it:
             rows = []
             for host, page in zip(df["host"], df["html"]):
-                best = best_container(parse(page or "")[1])
+                blocks, containers = parse(page or "")
+                best = best_container(containers)
                 if best.score > 0:
-                    rows.append((host, best.path, best.score))
+                    rows.append((host, climb(best, blocks).path, best.score))
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
 
     found = pages.select("host", "html").mapInPandas(score, "host string, path string, score double")

@@ -181,6 +181,24 @@ def test_html_keeps_formulas():
     assert html_extract.extract(page, None) == "where x=2 holds"
 
 
+def test_html_keeps_what_stands_beside_the_best_container(spark):
+    lead, body, other = "Lead " * 40, "Body " * 200, "Other " * 150
+    split = f"<h1>T</h1><div class=lead>{lead}</div><div class=body>{body}</div><div class=more>{lead}</div>"
+    lines = f"T\n{lead.strip()}\n{body.strip()}\n{lead.strip()}"
+    html = [
+        f"<body><article>{split}</article><div>beside the article, not of it</div></body>",
+        f"<body><div class=post>{split}</div></body>",
+        f"<body><h1>T</h1><article>{lead}</article><article>{body}</article><article>{lead}</article></body>",
+    ]
+    for page in html:
+        assert html_extract.extract(page, None) == lines
+    assert html_extract.extract(html[0], "/body/article/div.body") == lines
+    minority = f"<body><section><div class=teaser>small</div></section><article>{other}</article></body>"
+    pages = [(i, f"http://h.com/{i}", f"<body><section><div class=teaser>{body}</div></section></body>") for i in range(3)] + [(3, "http://h.com/3", minority)]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {0: body.strip(), 1: body.strip(), 2: body.strip(), 3: other.strip()}
+
+
 def test_ppm_shares_sum_to_one():
     from murmuration.llm import ppm
 
