@@ -39,16 +39,22 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 IN_P = BLOCKS - frozenset("option head caption".split())
 NAME = re.compile(r"[a-z]+")
+#: What a class or id says after such a word is of the page's layout, not of the element.
+MODIFIED = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]\S*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters outside links from which a block that isn't a heading makes the container of its siblings grow.
 CONTENT = 25
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "link", "parent", "score", "number")
+    """dropped: for its tag, role or state; named: its nearest element, itself included, with a name of boilerplate."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, link: bool, parent: Element | None, number: int) -> None:
+    __slots__ = ("tag", "path", "dropped", "link", "parent", "score", "number", "named", "plain", "holds", "kept")
+
+    def __init__(self, tag: str, path: str, dropped: bool, link: bool, parent: Element | None, number: int, named: bool = False) -> None:
         self.tag, self.path, self.dropped, self.link, self.parent, self.score, self.number = tag, path, dropped, link, parent, 0.0, number
+        self.named = self if named else parent.named if parent else None
+        self.plain, self.holds, self.kept = 0, False, False
 
 
 class Block:
@@ -67,41 +73,25 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks of text outside boilerplate in page order, each with its container, and the containers."""
     root = Element("", "", False, False, None, 0)
     stack, containers = [root], [root]
-    blocks: list[Block] = []
-    text: list[str] = []
-    linked = 0
+    pending: list[tuple[Element, list[tuple[str, Element]], str]] = []
+    marks: list[Element] = []
+    text: list[tuple[str, Element]] = []
     at = 0
     last_ends: dict[str, int] = {}
 
     def end_block() -> None:
-        nonlocal linked
         if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                home = stack[-1]
-                while home.tag not in CONTAINERS and home.parent is not None:
-                    home = home.parent
-                heading = next((e.tag for e in reversed(stack) if e.tag in HEADINGS), "")
-                blocks.append(Block(home, joined, max(0, len(joined) - linked), heading))
-                gain = max(0.0, len(joined) - 1.5 * linked)
-                if home.tag in ("article", "main"):
-                    gain *= 1.25
-                while home is not None and gain > 0:
-                    home.score += gain
-                    gain, home = gain / 2, home.parent
-                    while home is not None and home.tag not in CONTAINERS and home.parent is not None:
-                        home = home.parent
+            home = stack[-1]
+            while home.tag not in CONTAINERS and home.parent is not None:
+                home = home.parent
+            pending.append((home, text.copy(), next((e.tag for e in reversed(stack) if e.tag in HEADINGS), "")))
             text.clear()
-        linked = 0
 
     def add(chunk: str) -> None:
-        nonlocal linked
         if not stack[-1].dropped:
             if "&" in chunk:
                 chunk = html.unescape(chunk)
-            text.append(chunk)
-            if stack[-1].link:
-                linked += len(chunk)
+            text.append((chunk, stack[-1]))
 
     def ends_after(tag: str, start: int) -> bool:
         if tag not in last_ends:
@@ -146,19 +136,104 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if tag in VOID or (tag in EMBEDDED or tag == "math") and empty or tag in EMBEDDED and not ends_after(tag, at):
             continue
         top = stack[-1]
-        names, dropped = "", top.dropped or tag in DROPPED or tag in EMBEDDED
+        names, named, dropped = "", False, top.dropped or tag in DROPPED or tag in EMBEDDED
         if tag in BLOCKS or m.group(3):
-            names, bad = _names(m.group(3))
+            names, named, bad = _names(m.group(3))
             dropped = dropped or (bad and tag not in ("html", "body"))
+            named = named and tag not in ("html", "body")
         path = f"{top.path}/{tag}{names}" if tag in BLOCKS else top.path
-        new = Element(tag, path, dropped, top.link or tag == "a", top, len(containers))
+        new = Element(tag, path, dropped, top.link or tag == "a", top, len(containers), named)
         stack.append(new)
+        if tag in ("article", "main", "h1") and not dropped:
+            marks.append(new)
         if tag in CONTAINERS and not dropped:
             containers.append(new)
     if at < len(page):
         add(page[at:])
     end_block()
-    return blocks, containers
+    _judge_names(pending, marks)
+    blocks = _blocks(pending)
+    if not blocks:  # without the rules of names
+        for _, chunks, _ in pending:
+            for _, e in chunks:
+                for x in _named(e):
+                    x.kept = True
+        blocks = _blocks(pending)
+    return blocks, [e for e in containers if not _unwanted(e)]
+
+
+def _named(e: Element) -> Iterator[Element]:
+    """The elements with a name of boilerplate that hold e, itself included."""
+    x = e.named
+    while x is not None:
+        yield x
+        x = x.parent.named if x.parent else None
+
+
+def _unwanted(e: Element) -> bool:
+    """Whether e is in an element that its name drops."""
+    return e.named is not None and any(not x.kept for x in _named(e))
+
+
+def _ids(e: Element | None) -> set[int]:
+    """The ids of e and of the elements that hold it."""
+    found = set()
+    while e is not None:
+        found.add(id(e))
+        e = e.parent
+    return found
+
+
+def _judge_names(pending: list[tuple[Element, list[tuple[str, Element]], str]], marks: list[Element]) -> None:
+    """Keeps elements with a name of boilerplate that hold main, h1, the largest article, or over half of the text outside links.
+
+    Half of the text is no reason beside an article or main without such names that has text: an ad may outgrow a short article.
+    """
+    total = 0
+    articles = {id(e): e for e in marks if e.tag != "h1"}
+    for _, chunks, _ in pending:
+        for chunk, e in chunks:
+            size = 0 if e.link else len(chunk.strip())
+            total += size
+            x: Element | None = e if size else None
+            while x is not None:
+                if x.named is x or id(x) in articles:
+                    x.plain += size
+                x = x.parent
+    unnamed = [e for e in articles.values() if e.tag == "article" and e.named is not e]
+    plain_ones = {id(e) for e in articles.values() if e.named is None and e.plain}
+    largest = max(unnamed, key=lambda e: e.plain, default=None)
+    for mark in marks:
+        if mark.tag != "article" or mark is largest:
+            x = mark
+            while x is not None:
+                x.holds = True
+                x = x.parent
+    for _, chunks, _ in pending:
+        for _, e in chunks:
+            for x in _named(e):
+                x.kept = x.holds or 2 * x.plain > total and plain_ones <= _ids(x)
+
+
+def _blocks(pending: list[tuple[Element, list[tuple[str, Element]], str]]) -> list[Block]:
+    """The blocks of wanted text; their containers get scores."""
+    blocks = []
+    for home, chunks, heading in pending:
+        chunks = [(chunk, e) for chunk, e in chunks if not _unwanted(e)]
+        joined = " ".join("".join(chunk for chunk, _ in chunks).split())
+        if joined:
+            linked = sum(len(chunk) for chunk, e in chunks if e.link)
+            blocks.append(Block(home, joined, max(0, len(joined) - linked), heading))
+            gain = max(0.0, len(joined) - 1.5 * linked)
+            if home.tag in ("article", "main"):
+                gain *= 1.25
+            x: Element | None = home
+            while x is not None and gain > 0:
+                x.score += gain
+                gain, x = gain / 2, x.parent
+                while x is not None and x.tag not in CONTAINERS and x.parent is not None:
+                    x = x.parent
+    return blocks
 
 
 def _close(stack: list[Element], ended: set[str], until: set[str] | frozenset[str]) -> None:
@@ -171,17 +246,17 @@ def _close(stack: list[Element], ended: set[str], until: set[str] | frozenset[st
             return
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Generalised classes of a start tag, and whether its names mark boilerplate."""
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """Generalised classes of a start tag, whether its names mark boilerplate, and whether its role or state does."""
     if not attributes or not attributes.strip(" /"):
-        return "", False
+        return "", False, False
     found = {}
     for k, v in ATTRIBUTE.findall(attributes):
         found.setdefault(k.lower(), v.strip("\"'"))
-    words = set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    bad = bool(words & DROPPED_NAMES) or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    words = set(NAME.findall(MODIFIED.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower())))
+    bad = found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     classes = sorted({re.sub(r"\d+", "0", c.lower()) for c in found.get("class", "").split()})
-    return "".join("." + c for c in classes), bad
+    return "".join("." + c for c in classes), bool(words & DROPPED_NAMES), bad
 
 
 def best_container(containers: list[Element]) -> Element:

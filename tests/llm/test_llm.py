@@ -199,6 +199,19 @@ def test_html_keeps_what_stands_beside_the_best_container(spark):
     assert found == {0: body.strip(), 1: body.strip(), 2: body.strip(), 3: other.strip()}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar"><p>{}</p></div>', '<main class="page has-comments"><p>{}</p></main>', '<div id="search-layout"><p>{}</p></div>', '<div class="hasSidebar"><p>{}</p></div>',
+        '<div class="sidebar-left"><article>{}</article></div><div class="related"><article>teaser</article></div>', '<div class="social"><p><a href="/">{}</a></p></div>',
+        '<article><p>{}</p><div class="comments">c</div></article><div id="search-box">s</div>', '<div class="social-page"><div class="comment">c</div><p>{}</p></div>', '<article><p>{}</p></article><div class="ad">' + "Buy this now. " * 50 + "</div>",
+    ],
+)
+def test_html_keeps_articles_in_named_wrappers(page):
+    text = ("Some words of the article. " * 5).strip()
+    assert html_extract.extract(f"<body>{page.format(text)}</body>", None) == text
+
+
 def test_ppm_shares_sum_to_one():
     from murmuration.llm import ppm
 
