@@ -1,7 +1,8 @@
 """Near-duplicates by Order MinHash with banded alignment.
 
 A sketch holds the SAMPLED occurrence-labelled word k-mers of least hash in the order in which the text has them, so it
-is sensitive to edits and to order; equal sketches make a bucket. In each bucket documents are compared with a leader,
+is sensitive to edits and to order; a text that repeats k-mers has sketches of its distinct ones too, as similarity is
+that of sets. Equal sketches make a bucket. In each bucket documents are compared with a leader,
 not with each other; links join components, and buckets that still hold several components get other leaders, and at
 last an exact sweep of the remaining pairs by their sketches in blocks. A pair is a link if the Jaccard similarity of
 its k-mers and its edit similarity by banded alignment both reach the threshold.
@@ -22,9 +23,6 @@ from .components import components
 from .suffixes import Rolling, Words, hashed
 
 K, SKETCHES, SAMPLED, SIMILARITY = 5, 24, 3, 0.8
-#: Sketches that a compared pair has in common at least. A pair of similarity 0.8 shares 12 of 24 on average, and fewer
-#: than 3 with a probability of 1e-5.
-COMMON = 3
 #: Rounds with other leaders before the sweep, texts compared with one copy of a leader's, and documents of a block of the sweep.
 ROUNDS, SALT_ROWS, BLOCK = 2, 500, 16384
 U = np.uint64
@@ -72,6 +70,12 @@ def sketch(x: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED) -> n
     return out
 
 
+def sketches_of(x: np.ndarray) -> np.ndarray:
+    """SKETCHES sketches of the k-mers, and if any repeats so many of the distinct ones in order of first occurrence."""
+    first = np.sort(np.unique(x, return_index=True)[1])
+    return sketch(x) if len(first) == len(x) else np.concatenate([sketch(x), sketch(x[first])])
+
+
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -93,7 +97,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     node.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     x = k_mers(h)
                     n.append(len(np.unique(x)))
-                    bands.append(sketch(x).view(np.int64))
+                    bands.append(sketches_of(x).view(np.int64))
                     all_words.append((h >> U(32)).astype(np.uint32).view(np.int32))
                 sizes = lambda z: pa.array(np.concatenate([[0], np.cumsum([len(b) for b in z])]), pa.int32())
                 lists = [pa.ListArray.from_arrays(sizes(z), pa.array(np.concatenate(z))) for z in (bands, all_words)]
@@ -203,7 +207,7 @@ def verified(pairs: DataFrame, words: DataFrame, name: str, threshold: float = S
 
 
 def _common(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of sketches in common."""
+    """Pairs (a, b) with the number of sketches of one kind in common, which may be none."""
     bands = lambda c, s: nodes.select(F.col("node").alias(c), F.col("sketches").alias(s))
     joined = pairs.join(bands("a", "sa"), "a").join(bands("b", "sb"), "b")
     return joined.select("a", "b", F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)).alias("common"))
@@ -219,9 +223,9 @@ def _labelled(buckets: DataFrame, links: DataFrame | None, name: str) -> DataFra
 
 
 def _sweep(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of mixed buckets in different components with COMMON sketches and sizes that allow a link.
+    """Pairs (a, b) of mixed buckets in different components with sizes that allow a link.
 
-    Buckets are cut into blocks by node hash; each pair of blocks is a group, and a pair is told in its first common bucket only.
+    Buckets are cut into blocks by node hash; each pair of blocks is a group, and a pair is told in its first common band only.
     """
     rows = mixed.join(nodes.select("node", "n", "sketches"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
@@ -232,7 +236,7 @@ def _sweep(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     def pairs(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         band, _, i, j = key
-        bands = np.stack(df["sketches"].to_numpy()) if len(df) else np.zeros((0, SKETCHES), np.int64)
+        kinds = [np.stack([x[part] for x in df["sketches"]]) for part in (slice(SKETCHES), slice(-SKETCHES, None))]
         node, n, block = df["node"].to_numpy(), df["n"].to_numpy(), df["block"].to_numpy()
         label = pd.factorize(df["label"])[0]
         out: list[tuple] = []
@@ -242,8 +246,8 @@ def _sweep(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             if i == j:
                 others = others[others > x]
             if len(others):
-                same = bands[others] == bands[x]
-                good = (same.sum(axis=1) >= COMMON) & (same.argmax(axis=1) == band)
+                same = np.logical_or.reduce([a[others] == b[x] for a in kinds for b in kinds])
+                good = same.argmax(axis=1) == band
                 out += [(node[x], node[o]) for o in others[good]]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -261,18 +265,20 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     table = staged(sketched(docs), "sketches")
     words = table.select("node", "words")
     nodes = staged(table.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches")), "nodes")
-    buckets = staged(nodes.select("node", F.posexplode("sketches").alias("band", "hash")), "buckets")
+    exploded = nodes.select("node", "sketches", F.posexplode("sketches").alias("at", "hash"))
+    once = exploded.filter(f"at < {SKETCHES} or hash <> sketches[greatest(at - {SKETCHES}, 0)]")
+    buckets = staged(once.select("node", F.pmod("at", F.lit(SKETCHES)).alias("band"), "hash"), "buckets")
     sizes = buckets.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     shared = staged(lookup_join(buckets, staged(sizes, "leaders"), ["band", "hash"], "size", buckets.count()), "shared")
-    first = shared.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("common"))
-    links = verified(first.filter(F.col("common") >= COMMON), words, "links", threshold)
+    first = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = verified(first, words, "links", threshold)
     rows = shared.select("node", "band", "hash")
     mixed = _labelled(rows, links, "labels0")
     for i in range(ROUNDS):
         leaders = mixed.groupBy("band", "hash").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(i))).alias("l"), F.first("size").alias("size"))
         met = lookup_join(mixed.drop("size"), staged(leaders, "leaders"), ["band", "hash"], "size", mixed.count())
         pairs = met.filter(F.col("label") != F.col("l.label")).select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct()
-        best = _common(pairs, nodes).filter(F.col("common") >= COMMON).groupBy("a").agg(F.max_by("b", "common").alias("b"))
+        best = _common(pairs, nodes).groupBy("a").agg(F.max_by("b", "common").alias("b"))
         new = verified(best, words, f"links{i + 1}", threshold)
         if new.isEmpty():
             break

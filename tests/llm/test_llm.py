@@ -91,6 +91,21 @@ def test_near_dedup(odd, empty):
     assert near_dedup.keep_one(odd).count() == 4 and near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_repeated_lines_and_short_texts(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    data = []
+    for i in range(8):
+        own, line = [word() for _ in range(250)], [word() for _ in range(10)]
+        other = [word() if j in (3, 7) else w for j, w in enumerate(line)]
+        data += [(2 * i, " ".join(own + line * 25), ""), (2 * i + 1, " ".join(own + other * 25), "")]
+    for i in range(8, 12):
+        words = [word() for _ in range(9)]
+        data += [(2 * i, " ".join(words[:8]), ""), (2 * i + 1, " ".join(words), "")]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, DOCS)).collect()}
+    assert found == {i: i - i % 2 for i in range(24)}
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(200):
