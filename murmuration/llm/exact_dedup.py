@@ -1,8 +1,9 @@
 """Exact dedup with a log-structured merge index of digests.
 
-Memtables (batches of (digest, identifier)) are folded and flushed as digest-sorted Parquet runs that carry a Bloom
-filter and min/max statistics of the digest; compaction merges all runs into one sorted run with, for each digest, the
-identifier that stays (smallest or largest) and the number of rows. Documents whose digest has more than one row are
+Memtables (batches of (digest, identifier)) are folded and flushed, sorted by digest, one after another to the Parquet
+files of a run; compaction aggregates all runs by a hash of the digest into one that is sorted in each file, with, for each
+digest, the identifier that stays (smallest or largest) and the number of rows. The files carry Bloom filters and min/max
+statistics of the digest, but no lookup here probes the filters. Documents whose digest has more than one row are
 hits; their bytes are compared with those of the row that stays, and digests that fail are resolved by whole texts.
 """
 
