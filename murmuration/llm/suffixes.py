@@ -2,9 +2,9 @@
 
 Only suffixes at content-selected positions are retained: the minimisers of word k-grams. Any passage of LEAST words
 holds a minimiser among its first WINDOW words, the same in each copy, so each copy retains a suffix whose next
-LEAST - WINDOW + 1 words are equal. Suffixes are sorted by those words and compared with their neighbours; around the
-ones that have an equal neighbour in another document, matches are extended left and right: the windows of LEAST words
-that hold the minimiser are sorted and compared likewise, and overlapping windows grow into maximal spans.
+LEAST - WINDOW + 1 words are equal. Suffixes are sorted by a 64-bit hash of those words, not in the order of the words, and
+neighbours are compared by that hash; around the ones that have an equal neighbour in another document, the windows of
+LEAST words that hold the minimiser are hashed, sorted and compared likewise (no matched pair is extended), and overlapping windows grow into maximal spans.
 """
 
 from __future__ import annotations
