@@ -45,7 +45,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Boosted trees, sketches and byte-pair encoding aren't expressible in SQL; tests hold the stages against brute force.
+#: Boosted trees, sketches and byte-pair encoding aren't expressible in SQL. Tests hold near-dedup against brute force and the
+#: other stages' operators against small cases; none runs the whole pipeline.
 ORACLE_SQL = None
 
 

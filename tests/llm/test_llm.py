@@ -106,6 +106,38 @@ def test_near_dedup_of_repeated_lines_and_short_texts(spark):
     assert found == {i: i - i % 2 for i in range(24)}
 
 
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 90))] * rng.choice([1, 1, 3])
+        texts.append(words)
+        for share in (0.005, 0.02, 0.04, 0.1):
+            texts.append([f"v{rng.randint(0, 10**6)}" if rng.random() < share else w for w in words])
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, d[0] = d[0], i + 1
+            for j, y in enumerate(b):
+                last, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, last + (x != y))
+        return d[-1]
+
+    classes = list(range(len(texts)))
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            x, y = shingles(a), shingles(b)
+            if 5 * len(x & y) >= 4 * len(x | y) and 5 * distance(a, b) <= max(len(a), len(b)):
+                low, high = sorted((classes[i], classes[j]))
+                classes = [low if c == high else c for c in classes]
+    assert 12 < len(set(classes)) < len(texts)
+    docs = spark.createDataFrame([(i, " ".join(w), "") for i, w in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(classes))
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(200):
