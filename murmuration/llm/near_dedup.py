@@ -4,7 +4,7 @@ A sketch holds the SAMPLED occurrence-labelled word k-mers of least hash in the
 is sensitive to edits and to order; a text that repeats k-mers has sketches of its distinct ones too, as similarity is
 that of sets. Equal sketches make a bucket. In each bucket documents are compared with a leader,
 not with each other; links join components, and buckets that still hold several components get other leaders, and at
-last an exact sweep of the remaining pairs by their sketches in blocks. A pair is a link if the Jaccard similarity of
+last an exact sweep: of their pairs, those whose rarest k-mers allow a link are compared. A pair is a link if the Jaccard similarity of
 its k-mers and its edit similarity by banded alignment both reach the threshold.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lookup_join, read_table, staged
@@ -23,8 +23,8 @@ from .components import components
 from .suffixes import Rolling, Words, hashed
 
 K, SKETCHES, SAMPLED, SIMILARITY = 5, 24, 3, 0.8
-#: Rounds with other leaders before the sweep, texts compared with one copy of a leader's, and documents of a block of the sweep.
-ROUNDS, SALT_ROWS, BLOCK = 2, 500, 16384
+#: Rounds with other leaders before the sweep, texts compared with one copy of a leader's, and texts of a block of the sweep.
+ROUNDS, SALT_ROWS, BLOCK = 1, 500, 4096
 U = np.uint64
 SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | U(1)
 
@@ -76,6 +76,11 @@ def sketches_of(x: np.ndarray) -> np.ndarray:
     return sketch(x) if len(first) == len(x) else np.concatenate([sketch(x), sketch(x[first])])
 
 
+def distinct(words: np.ndarray) -> np.ndarray:
+    """The sorted distinct k-mers of a table's words."""
+    return np.unique(k_mers(words.astype(np.uint32).astype(U) * U(0x9E3779B97F4A7C15)))
+
+
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -194,13 +199,12 @@ def verified(pairs: DataFrame, words: DataFrame, name: str, threshold: float = S
 
     def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, np.zeros(0, U)
-        kmers = lambda w: np.unique(k_mers(w.astype(np.uint32).astype(U) * U(0x9E3779B97F4A7C15)))
         for df in it:
             good = np.zeros(len(df), bool)
             for i, (b, wa, wb) in enumerate(zip(df["b"], df["wa"], df["wb"])):
                 if b != last:
-                    last, mine = b, kmers(wb)
-                good[i] = similar(wa, wb, kmers(wa), mine, threshold)
+                    last, mine = b, distinct(wb)
+                good[i] = similar(wa, wb, distinct(wa), mine, threshold)
             yield df.loc[good, ["a", "b"]]
 
     return staged(rows.select("a", "b", "wa", "wb").mapInPandas(check, "a binary, b binary"), name)
@@ -222,36 +226,65 @@ def _labelled(buckets: DataFrame, links: DataFrame | None, name: str) -> DataFra
     return staged(lookup_join(rows, mixed, ["band", "hash"], "size", rows.count()), name + "-mixed")
 
 
-def _sweep(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of mixed buckets in different components with sizes that allow a link.
+def _tokens(words: DataFrame) -> DataFrame:
+    """(node, n, token): the n distinct k-mers of each node's words."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            for a in range(0, len(df), 200):
+                part = df.iloc[a : a + 200]
+                found = [distinct(w) for w in part["words"]]
+                n = np.array([len(x) for x in found], np.int32)
+                token = np.concatenate(found).view(np.int64) if len(found) else np.zeros(0, np.int64)
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "n": np.repeat(n, n), "token": token})
+
+    return words.select("node", "words").mapInPandas(run, "node binary, n int, token long")
+
 
-    Buckets are cut into blocks by node hash; each pair of blocks is a group, and a pair is told in its first common band only.
+def _rare(words: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, token, at): the rarest k-mers of each node, so many that two nodes as similar as threshold share one.
+
+    at: how many of its k-mers are rarer, counting from 0. words: (node, words) of unique nodes. K-mers that no other
+    node has aren't listed but count; nodes with too many of them have no link and no rows.
+    """
+    tokens = staged(_tokens(words), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    found = lookup_join(tokens, staged(often, "often"), ["token"], "often", tokens.count())
+    mine = Window.partitionBy("node")
+    found = found.select("*", (F.col("n") - F.count("*").over(mine)).alias("own"), F.row_number().over(mine.orderBy("often", "token")).alias("nth"))
+    at = F.col("own") + F.col("nth") - 1
+    return found.select("node", "n", "token", at.cast("int").alias("at")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9))
+
+
+def _sweep(mixed: DataFrame, nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of mixed buckets in different components that share a sketch and may be links.
+
+    Exact: two sets of k-mers as similar as threshold share one among the rarest of each, and by the places of the first
+    one that they share there are bounds of what they have in common. A frequent k-mer's nodes are cut into blocks.
     """
-    rows = mixed.join(nodes.select("node", "n", "sketches"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    rows = rows.withColumn("block", block)
+    labels = staged(mixed.select("node", "label").distinct(), "swept-nodes")
+    some = words.join(labels, "node", "left_semi").groupBy("node").agg(F.any_value("words").alias("words"))
+    rare = staged(_rare(some, threshold).join(labels, "node"), "rare")
+    sizes = rare.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = lookup_join(rare, staged(sizes, "rare-sizes"), ["token"], "size", rare.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # block i meets block j for i <= j: the row goes to (i, j) for its own block as either
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = rows.select("node", "label", "n", "sketches", "band", "hash", "block", F.explode(meets).alias("m")).select("*", "m.i", "m.j").drop("m")
-
-    def pairs(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        band, _, i, j = key
-        kinds = [np.stack([x[part] for x in df["sketches"]]) for part in (slice(SKETCHES), slice(-SKETCHES, None))]
-        node, n, block = df["node"].to_numpy(), df["n"].to_numpy(), df["block"].to_numpy()
-        label = pd.factorize(df["label"])[0]
-        out: list[tuple] = []
-        left = np.flatnonzero(block == i)
-        for x in left:
-            others = np.flatnonzero((block == j) & (label != label[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
-            if i == j:
-                others = others[others > x]
-            if len(others):
-                same = np.logical_or.reduce([a[others] == b[x] for a in kinds for b in kinds])
-                good = same.argmax(axis=1) == band
-                out += [(node[x], node[o]) for o in others[good]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return rows.groupBy("band", "hash", "i", "j").applyInPandas(pairs, "a binary, b binary")
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def side(name: str, meets: Column) -> DataFrame:
+        fields = [F.col(c).alias(c + name) for c in ("node", "label", "n", "at", "block")]
+        return rows.select("token", *fields, F.explode(F.filter(each, meets)).alias("other" + name))
+
+    left, right = side("_a", lambda j: j >= F.col("block")), side("_b", lambda i: i <= F.col("block"))
+    same = (F.col("other_a") == F.col("block_b")) & (F.col("block_a") == F.col("other_b"))
+    once = (F.col("block_a") < F.col("block_b")) | (F.col("node_a") < F.col("node_b"))
+    common = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    either = F.greatest(F.col("at_a") + F.col("at_b") + common, F.col("n_a") + F.col("n_b") - common)
+    may = (F.col("label_a") != F.col("label_b")) & once & (common >= either * threshold - 1e-9)
+    l, r = left.alias("l"), right.alias("r")
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & same & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    bands = lambda c, s: nodes.select(F.col("node").alias(c), F.col("sketches").alias(s))
+    return staged(pairs, "rare-pairs").join(bands("a", "sa"), "a").join(bands("b", "sb"), "b").filter(F.arrays_overlap("sa", "sb")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -284,7 +317,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             break
         links = links.union(new)
         mixed = _labelled(mixed.select("node", "band", "hash"), links, f"labels{i + 1}")
-    links = links.union(verified(_sweep(mixed, nodes, threshold), words, "swept", threshold))
+    links = links.union(verified(_sweep(mixed, nodes, words, threshold), words, "swept", threshold))
     labels = components(links, "classes")
     counted = table.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first_row"), F.count("*").alias("copies")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = staged(counted, "counted")
