@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from murmuration.functions.text import fold
+from murmuration.functions.text import fold, let
 from murmuration.sources.rules import RuleBook
 
 MATCH = "array<struct<pattern:string,tag:string>>"
@@ -15,10 +15,9 @@ def scan_phrases(text: Column, rules: RuleBook) -> Column:
     """The distinct phrases in a text, small or capital letters alike: array<struct<pattern, tag>>."""
     if not rules.patterns:
         return F.array().cast(MATCH)
-    low = F.lower(text)
-    # one conditional for each phrase stays in generated code and shares the lower-cased text
-    found = [F.when(F.contains(low, F.lit(p)), F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("tag"))) for p, t in rules.patterns]
-    return F.array_compact(F.array(*found))
+    one = lambda low, p, t: F.when(F.contains(low, F.lit(p)), F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("tag")))
+    # a text is lower-cased once, and folded once, however many phrases look into it
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[one(low, p, t) for p, t in rules.patterns])))
 
 
 def scan_folded(text: Column, rules: RuleBook) -> Column:

@@ -12,8 +12,10 @@ ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _ASCII = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]
 FULL = "".join(chr(0xFEE0 + c) for c in _ASCII) + "\u3000"
 HALF = "".join(map(chr, _ASCII)) + " "
-#: What Python's str methods count as white space, as a Java character class.
-SPACE = r"[\s\x1c-\x1f]"
+#: What Python's str methods count as white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The same as a Java character class, without regard to flags.
+SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,20 +23,31 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def once(found: Column, keep: Callable[[Column], Column]) -> Column:
+    """Rows of found's value where keep holds, for select: found is evaluated once, for the filter and for what follows."""
+    return F.explode(F.filter(F.array(found), keep))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def without_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+", "")
+    return F.regexp_replace(c, f"{SPACE}+", "")
+
+
+def translated(c: Column, old: str, new: str) -> Column:
+    """translate(c, old, new), which is slow, for texts that have one of the old characters."""
+    return F.when(F.rlike(c, F.lit("[" + "".join(f"\\x{{{ord(x):x}}}" for x in old) + "]")), F.translate(c, old, new)).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
     """Without zero-width characters, with half-width letters and digits, and with white space evened out; null gives ''."""
     # translate deletes what has no counterpart
-    x = F.translate(F.coalesce(c, F.lit("")), FULL + ZERO_WIDTH, HALF)
-    x = F.regexp_replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
-    x = F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "\n{3,}", "\n\n")
+    x = let(F.coalesce(c, F.lit("")), lambda t: translated(t, FULL + ZERO_WIDTH, HALF))
+    x = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    # lone spaces are left alone: most are
+    x = F.regexp_replace(F.regexp_replace(x, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
     return strip(x)
 
 
@@ -43,8 +56,8 @@ def fold(c: Column, mapping: dict[str, str]) -> Column:
     x = normalize(c)
     single = {k: v for k, v in mapping.items() if len(k) == 1}
     plain = {k: v for k, v in single.items() if len(v) == 1 and (v == v.lower()) and ("一" <= v <= "鿿" or v in "abcdefghijklmnopqrstuvwxyz0123456789")}
-    if plain:
-        x = F.translate(x, "".join(plain), "".join(plain.values()))
+    variants = lambda c: let(c, lambda t: translated(t, "".join(plain), "".join(plain.values()))) if plain else c
+    x = variants(x)
     others = {k: v for k, v in single.items() if k not in plain}
     if others:
         # values of several or other characters are kept as they are
@@ -52,9 +65,7 @@ def fold(c: Column, mapping: dict[str, str]) -> Column:
         pairs = F.create_map(*[F.lit(z) for kv in others.items() for z in kv])
         clean = lambda ch: F.regexp_replace(F.lower(ch), r"[^一-鿿a-z0-9]", "")
         return F.array_join(F.transform(kept, lambda ch: F.coalesce(F.try_element_at(pairs, ch), F.try_element_at(pairs, F.lower(ch)), clean(ch))), "")
-    x = F.lower(x)
-    x = F.translate(x, "".join(plain), "".join(plain.values())) if plain else x
-    return F.regexp_replace(x, r"[^一-鿿a-z0-9]", "")
+    return F.regexp_replace(variants(F.lower(x)), r"[^一-鿿a-z0-9]+", "")
 
 
 def chars(c: Column) -> Column:
@@ -76,7 +87,9 @@ def grams(letters: Column, k: int, separator: str = "") -> Column:
 
 def tokens(c: Column, stopwords: Iterable[str] = ()) -> Column:
     """Character bigrams of the normalised text without white space (a lone character is a token), less stopwords."""
-    found = let(chars(without_space(normalize(c))), lambda x: F.when(F.size(x) == 1, x).otherwise(grams(x, 2)))
+    # a look-ahead at each place takes two characters without using them up
+    pairs = lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1))
+    found = let(without_space(normalize(c)), lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(pairs(t)))
     stop = sorted({w for w in stopwords if len(w) <= 2})
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
@@ -101,13 +114,13 @@ def repeat_ratio(toks: Column, n: int = 3) -> Column:
 
 def max_run(c: Column) -> Column:
     """Length of the longest run of one character."""
-    runs = F.regexp_extract_all(c, F.lit(r"(?s)((.)\2*)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)((.)\2+)"), F.lit(1))
+    return let(F.coalesce(c, F.lit("")), lambda t: F.coalesce(F.array_max(F.transform(runs(t), F.length)), F.least(F.length(t), F.lit(1))))
 
 
 def top_char(c: Column) -> Column:
     """struct<n, place, char> of the most frequent character, the first seen of even ones; null for the empty text."""
-    runs = lambda t: F.regexp_extract_all(F.array_join(F.array_sort(chars(t)), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    runs = lambda t: F.regexp_extract_all(F.array_join(F.sort_array(chars(t)), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
     best = let(c, lambda t: F.array_min(F.transform(runs(t), lambda r: F.struct((-F.length(r)).alias("n"), F.call_function("instr", t, F.substring(r, 1, 1)).alias("place"), F.substring(r, 1, 1).alias("char")))))
     return let(best, lambda best: F.when(best.isNotNull(), F.struct((-best["n"]).alias("n"), best["place"].alias("place"), best["char"].alias("char"))))
 
@@ -142,7 +155,7 @@ def entropy(toks: Column) -> Column:
         return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, acc["sum"]).otherwise(add(acc["sum"], acc["run"])).alias("sum"))
 
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    total = lambda t: F.aggregate(F.array_sort(t), start, step, lambda acc: add(acc["sum"], acc["run"]))
+    total = lambda t: F.aggregate(F.sort_array(t), start, step, lambda acc: add(acc["sum"], acc["run"]))
     return let(toks, lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.log2(F.size(t)) - total(t) / F.size(t)))
 
 

@@ -28,28 +28,34 @@ def age(c: Context) -> DataFrame:
 
 
 def copy_pairs(sets: Column) -> Column:
-    """struct<pairs, copies> of an array of shingle sets, empty sets left out."""
-    full = F.filter(sets, lambda s: F.size(s) > 0)
-    n = F.size(full)
-    # each set meets those after it
-    copies = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter(F.slice(full, i + 2, n), lambda s: T.jaccard(s, F.get(full, i)) >= COPY)),
-    )
-    return F.struct((n * (n - 1) / 2).cast("long").alias("pairs"), F.when(n > 1, copies).otherwise(F.lit(0)).cast("long").alias("copies"))
+    """struct<pairs, copies> of an array of distinct struct<s, n>: a set of shingles and the number of texts that have it; empty sets left out."""
+
+    def of(full: Column) -> Column:
+        n = F.aggregate(full, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        equal = F.aggregate(full, F.lit(0).cast("long"), lambda acc, x: acc + (x["n"] * (x["n"] - 1) / 2).cast("long"))
+        # each set meets those after it; sets of sizes too different can't be copies
+        like = lambda x, y: (F.least(F.size(x["s"]), F.size(y["s"])) >= COPY * F.greatest(F.size(x["s"]), F.size(y["s"]))) & (T.jaccard(x["s"], y["s"]) >= COPY)
+        met = lambda x, i: F.aggregate(F.slice(full, i + 2, F.size(full)), F.lit(0).cast("long"), lambda acc, y: acc + F.when(like(x, y), x["n"] * y["n"]).otherwise(F.lit(0).cast("long")))
+        alike = F.aggregate(F.transform(full, met), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        return F.struct((n * (n - 1) / 2).cast("long").alias("pairs"), (equal + alike).alias("copies"))
+
+    return T.let(F.filter(sets, lambda x: F.size(x["s"]) > 0), of)
 
 
 def copy_ratios(items: DataFrame, min_posts: int, max_posts: int) -> DataFrame:
     """(actor_id, posts, sampled, pairs, copies) of actors with min_posts items or more, over their first max_posts items.
 
-    The first items are cut before they gather, so no actor brings more than max_posts texts together.
+    Texts of equal shingles are counted before they gather, and so are items beyond max_posts cut: an actor brings at most
+    as many sets together as max_posts and its distinct texts allow.
     """
     order = Window.partitionBy("actor_id").orderBy("seq", "item_id")
     ranked = items.select("actor_id", "seq", "item_id", "text", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= max_posts)
     posts = items.groupBy("actor_id").agg(F.count("*").alias("posts")).filter(F.col("posts") >= min_posts)
-    sets = ranked.groupBy("actor_id").agg(F.collect_list(T.shingles(F.col("text"))).alias("sets"))
+    texts = ranked.groupBy("actor_id", "text").agg(F.count("*").alias("n"))
+    counted = texts.select("actor_id", F.array_sort(T.shingles(F.col("text"))).alias("s"), "n").groupBy("actor_id", "s").agg(F.sum("n").alias("n"))
+    sets = counted.groupBy("actor_id").agg(F.sum("n").alias("sampled"), F.collect_list(F.struct("s", "n")).alias("sets"))
     joined = posts.join(sets, "actor_id").withColumn("p", copy_pairs(F.col("sets")))
-    return joined.select("actor_id", "posts", F.size("sets").alias("sampled"), "p.pairs", "p.copies")
+    return joined.select("actor_id", "posts", F.col("sampled").cast("int").alias("sampled"), "p.pairs", "p.copies")
 
 
 @register("account.originality", ACTOR, "The account's own texts copy one another")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from murmuration.operators.kernels import label_propagation
 from murmuration.session import written
 
+#: Shared elements of all pairs are counted up to so many times the pairs that share a rare one.
+COUNTED = 4
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b); a component is named by its least node.
@@ -33,24 +36,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def overlap_edges(pairs: DataFrame, min_shared: int = 3, overlap: float = 0.5) -> DataFrame:
     """(a, b, shared, total) of owners a < b whose element sets share min_shared or more, and overlap of their union.
 
-    pairs: (owner, element). Sets that overlap so share one of their rarest elements (prefix filter), so only those meet:
-    elements that everybody has bring nobody together. Exact; no element's owners are gathered.
+    pairs: (owner, element). Sets that overlap so share one of their rarest elements (prefix filter), so only those need to
+    meet, and each such pair's sets are compared: elements that everybody has bring nobody together. Where elements are
+    of even frequency that spares little, and shared elements are counted instead, before they move. Exact either way.
     """
     rows = pairs.select("owner", "element").distinct()
-    frequency = rows.groupBy("element").agg(F.count("*").alias("f"))
     sized = rows.groupBy("owner").agg(F.count("*").alias("size")).filter(F.col("size") >= max(1, min_shared))
-    ranked = rows.join(frequency, "element").join(sized, "owner").withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("f", "element")))
+    owners = written(sized.select("owner", "size", F.monotonically_increasing_id().alias("id")), "owners")
+    rows = written(rows.join(owners, "owner").select("id", "size", "element"), "owned")
+    frequency = rows.groupBy("element").agg(F.count("*").alias("f"))
     least = F.greatest(F.lit(max(1, min_shared)), F.ceil(F.col("size") * F.lit(overlap) - F.lit(1e-9)))
-    prefix = ranked.filter(F.col("rank") <= F.col("size") - least + 1).select("owner", "element", "size")
-    a = prefix.select(F.col("owner").alias("a"), "element", F.col("size").alias("na"))
-    b = prefix.select(F.col("owner").alias("b"), "element", F.col("size").alias("nb"))
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(overlap) - F.lit(1e-9)) & (F.col("a") < F.col("b"))
-    met = a.join(b, "element").filter(fits).select("a", "b").distinct()
-    sets = rows.groupBy("owner").agg(F.collect_set("element").alias("s"))
-    joined = met.join(sets.select(F.col("owner").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("owner").alias("b"), F.col("s").alias("sb")), "b")
-    counted = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
-    counted = counted.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("total"))
-    return counted.filter((F.col("shared") >= min_shared) & (F.col("shared") / F.col("total") >= overlap))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "element"))
+    ranked = written(rows.join(frequency, "element").withColumn("rare", rank <= F.col("size") - least + 1), "ranked")
+    counts = ranked.groupBy("element").agg(F.count("*").cast("double").alias("n"), F.count_if("rare").cast("double").alias("p"))
+    all_pairs, rare_pairs = counts.agg(F.sum(F.expr("n * (n - 1)")), F.sum(F.expr("p * (p - 1)"))).first()
+
+    def meet(some: DataFrame) -> DataFrame:
+        side = lambda x: some.select("element", F.col("id").alias(f"id_{x}"), F.col("size").alias(f"size_{x}"))
+        fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(overlap) - F.lit(1e-9)
+        return side("a").join(side("b"), "element").filter((F.col("id_a") < F.col("id_b")) & fits)
+
+    sums = (F.col("size_a") + F.col("size_b")).alias("sum")
+    if (all_pairs or 0) <= COUNTED * (rare_pairs or 0):
+        counted = meet(ranked).groupBy("id_a", "id_b", sums).agg(F.count("*").alias("shared"))
+    else:
+        met = meet(ranked.filter("rare")).select("id_a", "id_b", sums).distinct()
+        sets = ranked.groupBy("id").agg(F.collect_list("element").alias("s"))
+        of = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}"))
+        counted = met.join(of("a"), "id_a").join(of("b"), "id_b").select("id_a", "id_b", "sum", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("shared"))
+    counted = counted.withColumn("total", F.col("sum") - F.col("shared")).filter((F.col("shared") >= min_shared) & (F.col("shared") / F.col("total") >= overlap))
+    name = lambda x: owners.select(F.col("id").alias(f"id_{x}"), F.col("owner").alias(f"owner_{x}"))
+    named = counted.join(name("a"), "id_a").join(name("b"), "id_b")
+    return named.select(F.least("owner_a", "owner_b").alias("a"), F.greatest("owner_a", "owner_b").alias("b"), "shared", F.col("total").cast("long").alias("total"))
 
 
 def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:

@@ -11,11 +11,6 @@ from murmuration.functions.scalars import clamp
 from murmuration.operators.hits import ITEM, Context, make_hits, percent, register, strong_if
 
 
-def template_measures(items: DataFrame, stopwords: frozenset[str] = frozenset(), n: int = 3) -> DataFrame:
-    """items with tokens and the share of repeated n-grams, ratio."""
-    return items.withColumn("tokens", T.tokens(F.col("text"), stopwords)).withColumn("ratio", T.repeat_ratio(F.col("tokens"), n))
-
-
 def repeated_phrases(toks: Column, n: int, most: int = 3) -> Column:
     """The most frequent n-grams that occur twice or more, joined; of even ones the first seen."""
     g = T.joined_ngrams(toks, n, "")
@@ -37,23 +32,33 @@ def repeated_phrases(toks: Column, n: int, most: int = 3) -> Column:
 @register("text.template", ITEM, "One text repeats the same n-grams")
 def template(c: Context) -> DataFrame:
     n, weak, strong = c.whole("n", 3), c.number("weak", 0.22), c.number("strong", 0.42)
-    rows = template_measures(c.data.items, c.rules.stopwords, n).filter((F.size("tokens") >= c.whole("min_tokens", 12)) & (F.col("ratio") >= weak))
+    found = T.let(T.tokens(F.col("text"), c.rules.stopwords), lambda t: F.struct(t.alias("tokens"), T.repeat_ratio(t, n).alias("ratio")))
+    repeats = lambda m: (F.size(m["tokens"]) >= c.whole("min_tokens", 12)) & (m["ratio"] >= weak)
+    rows = c.data.items.select("item_id", T.once(found, repeats).alias("m")).select("item_id", "m.*")
     evidence = F.struct(F.round("ratio", 4).alias("repeat_ratio"), F.size("tokens").alias("tokens"), repeated_phrases(F.col("tokens"), n).alias("repeated_phrases"))
     reason = F.concat(F.lit(f"Highly templated text ({n}-gram repetition "), percent(F.col("ratio")), F.lit(")"))
     return make_hits(rows, "text.template", c.params, ITEM, F.col("item_id"), strong_if(F.col("ratio") >= strong), clamp(F.col("ratio") / max(strong, 1e-6), 0.3, 1.0), reason, evidence)
 
 
+def repeated_characters(text: Column) -> Column:
+    """struct<size, top, run, ratio>: of the compact text its length, most frequent character, longest run and that character's share."""
+
+    def measures(t: Column) -> Column:
+        return T.let(T.top_char(t), lambda top: F.struct(F.length(t).alias("size"), top.alias("top"), T.max_run(t).alias("run"), F.coalesce(top["n"] / F.length(t), F.lit(0.0)).alias("ratio")))
+
+    return T.let(T.without_space(T.normalize(text)), measures)
+
+
 def repetition_measures(items: DataFrame) -> DataFrame:
-    """items with their compact text, the most frequent character's share (ratio) and the longest run of one character."""
-    rows = items.withColumn("compact", T.without_space(T.normalize(F.col("text"))))
-    rows = rows.withColumn("top", T.top_char(F.col("compact"))).withColumn("run", T.max_run(F.col("compact")))
-    return rows.withColumn("ratio", F.coalesce(F.col("top.n") / F.length("compact"), F.lit(0.0)))
+    """items with their compact text's size, its most frequent character (top), that one's share (ratio) and the longest run of one character."""
+    return items.withColumn("m", T.once(repeated_characters(F.col("text")), lambda m: m.isNotNull())).select(*items.columns, "m.*")
 
 
 @register("text.repetition", ITEM, "One character fills a text or runs on")
 def repetition(c: Context) -> DataFrame:
     weak, strong, run = c.number("char_ratio", 0.45), c.number("strong_ratio", 0.6), c.whole("run_length", 6)
-    rows = repetition_measures(c.data.items).filter((F.length("compact") >= c.whole("min_chars", 10)) & ((F.col("ratio") >= weak) | (F.col("ratio") >= strong) | (F.col("run") >= min(run, 2 * run))))
+    floods = lambda m: (m["size"] >= c.whole("min_chars", 10)) & ((m["ratio"] >= weak) | (m["ratio"] >= strong) | (m["run"] >= min(run, 2 * run)))
+    rows = c.data.items.select("item_id", T.once(repeated_characters(F.col("text")), floods).alias("m")).select("item_id", "m.*")
     intensity = clamp(F.greatest(F.col("ratio") / max(strong, 1e-6), F.col("run") / max(2 * run, 1)), 0.3, 1.0)
     reason = F.concat(F.lit("Flooding: the character '"), F.col("top.char"), F.lit("' makes up "), percent(F.col("ratio")), F.lit(", the longest run is "), F.col("run").cast("string"))
     evidence = F.struct(F.round("ratio", 4).alias("char_ratio"), F.col("top.char").alias("top_char"), F.col("run").alias("max_run"))
@@ -63,7 +68,7 @@ def repetition(c: Context) -> DataFrame:
 @register("text.keyword", ITEM, "Phrases and expressions of the rule book")
 def keyword(c: Context) -> DataFrame:
     found = F.concat(scan_phrases(F.col("text"), c.rules), scan_expressions(F.col("text"), c.rules))
-    rows = c.data.items.withColumn("found", found).filter(F.size("found") > 0)
+    rows = c.data.items.select("item_id", T.once(found, lambda m: F.size(m) > 0).alias("found"))
     rows = rows.withColumn("tags", F.array_distinct(F.transform("found", lambda m: m["tag"])))
     tags = sorted({p.tag for p in c.rules.phrases} | {e.tag for e in c.rules.expressions})
     if not tags:
@@ -86,8 +91,9 @@ def keyword(c: Context) -> DataFrame:
 @register("text.evasion", ITEM, "Phrases that show only once variants and signs are folded")
 def evasion(c: Context) -> DataFrame:
     names = lambda found: F.transform(found, lambda m: m["pattern"])
-    rows = c.data.items.withColumn("direct", names(scan_phrases(F.col("text"), c.rules))).withColumn("folded", names(scan_folded(F.col("text"), c.rules)))
-    rows = rows.withColumn("extra", F.array_sort(F.array_except("folded", "direct"))).filter(F.size("extra") >= max(1, c.whole("min_extra", 1)))
+    both = F.struct(names(scan_phrases(F.col("text"), c.rules)).alias("direct"), names(scan_folded(F.col("text"), c.rules)).alias("folded"))
+    found = T.let(both, lambda m: F.struct(m["direct"].alias("direct"), F.array_sort(F.array_except(m["folded"], m["direct"])).alias("extra")))
+    rows = c.data.items.select("item_id", T.once(found, lambda m: F.size(m["extra"]) >= max(1, c.whole("min_extra", 1))).alias("m")).select("item_id", "m.*")
     reason = F.concat(F.lit("Deliberate evasion: "), F.array_join(F.slice("extra", 1, 5), ", "))
     evidence = F.struct(F.col("extra").alias("evaded"), F.array_sort("direct").alias("direct"))
     return make_hits(rows, "text.evasion", c.params, ITEM, F.col("item_id"), F.lit("strong"), clamp(0.7 + 0.1 * (F.size("extra") - 1), 0.7, 1.0), reason, evidence)

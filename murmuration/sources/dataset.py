@@ -32,6 +32,15 @@ def as_actors(df: DataFrame) -> DataFrame:
     return _shaped(df, ACTORS, zeros | flags | {"name": F.lit("")})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it has fewer partitions than they are: an input of few splits keeps few of them busy.
+
+    Inputs with as many splits as cores don't move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass(frozen=True)
 class Dataset:
     items: DataFrame

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.sources.dataset import Dataset
+from murmuration.sources.dataset import Dataset, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def documents(spark: SparkSession, folder: str) -> Dataset:
     """A document is an item of its source; its language is the topic."""
     d = table(spark, folder, "documents")
     items = d.select(F.col("doc_id").alias("seq"), text("doc_id").alias("item_id"), text("source").alias("actor_id"), "text", text("lang").alias("topic"))
-    return Dataset.of(items, source="documents")
+    return Dataset.of(spread(items), source="documents")
 
 
 def conversations(spark: SparkSession, folder: str) -> Dataset:
