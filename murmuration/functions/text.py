@@ -36,15 +36,10 @@ def without_space(c: Column) -> Column:
     return F.regexp_replace(c, f"{SPACE}+", "")
 
 
-def translated(c: Column, old: str, new: str) -> Column:
-    """translate(c, old, new), which is slow, for texts that have one of the old characters."""
-    return F.when(F.rlike(c, F.lit("[" + "".join(f"\\x{{{ord(x):x}}}" for x in old) + "]")), F.translate(c, old, new)).otherwise(c)
-
-
 def normalize(c: Column) -> Column:
     """Without zero-width characters, with half-width letters and digits, and with white space evened out; null gives ''."""
     # translate deletes what has no counterpart
-    x = let(F.coalesce(c, F.lit("")), lambda t: translated(t, FULL + ZERO_WIDTH, HALF))
+    x = F.translate(F.coalesce(c, F.lit("")), FULL + ZERO_WIDTH, HALF)
     x = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     # lone spaces are left alone: most are
     x = F.regexp_replace(F.regexp_replace(x, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
@@ -56,7 +51,7 @@ def fold(c: Column, mapping: dict[str, str]) -> Column:
     x = normalize(c)
     single = {k: v for k, v in mapping.items() if len(k) == 1}
     plain = {k: v for k, v in single.items() if len(v) == 1 and (v == v.lower()) and ("一" <= v <= "鿿" or v in "abcdefghijklmnopqrstuvwxyz0123456789")}
-    variants = lambda c: let(c, lambda t: translated(t, "".join(plain), "".join(plain.values()))) if plain else c
+    variants = lambda c: F.translate(c, "".join(plain), "".join(plain.values())) if plain else c
     x = variants(x)
     others = {k: v for k, v in single.items() if k not in plain}
     if others:
@@ -101,9 +96,13 @@ def ngrams(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def joined_ngrams(toks: Column, n: int, separator: str = "\x1f") -> Column:
-    """Runs of n tokens as texts, which hash and compare faster than arrays."""
-    return grams(toks, n, separator) if n > 0 else F.array().cast("array<string>")
+def joined_ngrams(toks: Column, n: int) -> Column:
+    """Runs of n tokens as texts, each token with \\x1f after it, which hash and compare faster than arrays. Tokens have no \\x1f."""
+    if n <= 0:
+        return F.array().cast("array<string>")
+    # a look-ahead at each token takes n without using them up
+    one = "[^\x1f]*\x1f"
+    return F.regexp_extract_all(F.array_join(F.transform(toks, lambda t: F.concat(t, F.lit("\x1f"))), ""), F.lit(f"(?=((?:{one}){{{n}}})){one}"), F.lit(1))
 
 
 def repeat_ratio(toks: Column, n: int = 3) -> Column:

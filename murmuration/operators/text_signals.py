@@ -13,7 +13,7 @@ from murmuration.operators.hits import ITEM, Context, make_hits, percent, regist
 
 def repeated_phrases(toks: Column, n: int, most: int = 3) -> Column:
     """The most frequent n-grams that occur twice or more, joined; of even ones the first seen."""
-    g = T.joined_ngrams(toks, n, "")
+    g = T.grams(toks, n)
     rows = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("phrase"), i.alias("at"))))
     best = "array<struct<n:int,at:int,phrase:string>>"
 
