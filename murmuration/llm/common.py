@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds over one in so many rows; there are fewer than so many of them, whatever the input.
-HOT_KEYS = 1000
-
+from murmuration.session import new_path, written as staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("murmuration.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="murmuration-")
-        spark.conf.set("murmuration.shared.dir", found)
-    return found.rstrip("/")
+__all__ = ["Filter", "having", "lookup_join", "new_path", "read_table", "staged", "unused"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A key is hot if it holds over one in so many rows; there are fewer than so many of them, whatever the input.
+HOT_KEYS = 1000
+#: Bits of a filter for each key in it, and at most (8 MB); a filter at its bound lets more rows through that aren't looked for.
+FILTER_BITS, FILTER_MOST = 32, 1 << 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def same(a, b, keys: list[str]):
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, total: int, how: str = "inner") -> DataFrame:
@@ -52,3 +38,28 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], count_col: s
     a = left.join(hot, keys, "inner")
     b = left.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return a.unionByName(b)
+
+
+class Filter:
+    """A Bloom filter of keys, with one bit each, as a bounded table (word, bits) that is broadcast."""
+
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        n = keys.count()
+        self.size = min(FILTER_MOST, 1 << max(6, (n * FILTER_BITS - 1).bit_length()))
+        bit = F.pmod(F.xxhash64(key), F.lit(self.size))
+        words = keys.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("at"))
+        self.words = staged(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")), "filter")
+
+    def split(self, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose key the filter rules out, and the others."""
+        columns = [F.col(f"`{c}`") for c in rows.columns]
+        word, bits = (unused(c, rows.columns) for c in ("filter_word", "filter_bits"))
+        bit = F.pmod(F.xxhash64(key), F.lit(self.size))
+        found = rows.join(F.broadcast(self.words.toDF(word, bits)), F.shiftright(bit, 6) == F.col(word), "left")
+        may = F.expr(f"shiftrightunsigned(coalesce({bits}, 0L), cast(pmod(pmod(xxhash64({key}), {self.size}L), 64L) as int)) & 1") == 1
+        return found.filter(~may).select(*columns), found.filter(may).select(*columns)
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in keys, unique there; a filter rules most others out before any move."""
+    return Filter(keys, key).split(rows, key)[1].join(keys, key, "left_semi")
