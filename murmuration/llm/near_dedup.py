@@ -10,6 +10,7 @@ its k-mers and its edit similarity by banded alignment both reach the threshold.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, read_table, staged
-from .components import components
+from murmuration.operators.graph import connected_components
+
+from .common import Filter, having, lookup_join, read_table, staged, unused
 from .suffixes import Rolling, Words, hashed
 
 K, SKETCHES, SAMPLED, SIMILARITY = 5, 24, 3, 0.8
 #: Rounds with other leaders before the sweep, texts compared with one copy of a leader's, and texts of a block of the sweep.
 ROUNDS, SALT_ROWS, BLOCK = 1, 500, 4096
+#: Words from which a pair is first aligned through its common k-mers.
+LONG = 2000
 U = np.uint64
+MIX = U(0x9E3779B97F4A7C15)
 SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | U(1)
 
 
@@ -78,11 +83,12 @@ def sketches_of(x: np.ndarray) -> np.ndarray:
 
 def distinct(words: np.ndarray) -> np.ndarray:
     """The sorted distinct k-mers of a table's words."""
-    return np.unique(k_mers(words.astype(np.uint32).astype(U) * U(0x9E3779B97F4A7C15)))
+    return np.unique(k_mers(words.astype(np.uint32).astype(U) * MIX))
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """A digest of doc_id and text; null text counts as empty."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("text"), F.lit(""))))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -108,7 +114,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(sizes(z), pa.array(np.concatenate(z))) for z in (bands, all_words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(node)), batch.column(1).slice(a, len(node)), pa.array(node, pa.binary()), pa.array(n, pa.int32()), *lists], names=["doc_id", "row", "node", "n", "sketches", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, node binary, n int, sketches array<long>, words array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row string, node binary, n int, sketches array<long>, words array<int>")
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -182,15 +188,52 @@ def similar(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshol
         return False
     longest = max(len(a), len(b))
     most = int((1 - threshold) * longest + 1e-9)
-    return edit_distance(a, b, most) <= most
+    # most long pairs are links by what lies between their common k-mers, without a table of all their words
+    return longest > LONG and chained_distance(a, b) <= most or edit_distance(a, b, most) <= most
+
+
+def chained_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """At least the edit distance: of the alignment through the longest chain of k-mers that occur once in each text."""
+    once = []
+    for w in (a, b):
+        x, at, n = np.unique(k_mers(w.astype(np.uint32).astype(U) * MIX), return_index=True, return_counts=True)
+        once.append((x[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    ia, ib = once[0][1][i], once[1][1][j]
+    by = np.argsort(ia)
+    ia, ib = ia[by].tolist(), ib[by].tolist()
+    tails: list[int] = []  # the least last place in b of chains of each length, and who has it
+    heads: list[int] = []
+    before = [-1] * len(ia)
+    for at, place in enumerate(ib):
+        k = bisect_left(tails, place)
+        before[at] = heads[k - 1] if k else -1
+        tails[k : k + 1], heads[k : k + 1] = [place], [at]
+    chain = []
+    at = heads[-1] if heads else -1
+    while at >= 0:
+        chain.append((ia[at], ib[at]))
+        at = before[at]
+    chain.reverse()
+    k, x, y, cost = min(K, len(a), len(b)), 0, 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        if i < x or j < y:
+            if x - i == y - j:
+                x, y = i + k, j + k
+            continue
+        n, m = i - x, j - y
+        if n or m:
+            cost += edit_distance(a[x:i], b[y:j], max(n, m)) if n * m <= 1 << 20 else max(n, m)
+        x, y = i + k, j + k
+    return cost
 
 
 def verified(pairs: DataFrame, words: DataFrame, name: str, threshold: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that are links. words: (node, words), maybe several equal rows a node. b may be a hot leader:
     its words are copied for every SALT_ROWS pairs."""
     pairs = staged(pairs.select("a", "b").distinct(), name + "-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = staged(words.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("words").alias("words")), name + "-words")
+    needed = staged(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), name + "-needed")
+    some = staged(having(words, needed, "node").groupBy("node").agg(F.any_value("words").alias("words")), name + "-words")
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     total = pairs.count()
     salted = lookup_join(pairs, salts.withColumn("n", F.col("salts") * SALT_ROWS), ["b"], "n", total).withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).select("a", "b", "salt")
@@ -219,7 +262,7 @@ def _common(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _labelled(buckets: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
     """The buckets' rows with their nodes' components, of buckets that hold several."""
-    labels = components(links, name)
+    labels = connected_components(links).withColumnRenamed("component", "label")
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = staged(rows, name + "-buckets")
     mixed = rows.groupBy("band", "hash").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y").drop("x", "y")
@@ -263,7 +306,7 @@ def _sweep(mixed: DataFrame, nodes: DataFrame, words: DataFrame, threshold: floa
     one that they share there are bounds of what they have in common. A frequent k-mer's nodes are cut into blocks.
     """
     labels = staged(mixed.select("node", "label").distinct(), "swept-nodes")
-    some = words.join(labels, "node", "left_semi").groupBy("node").agg(F.any_value("words").alias("words"))
+    some = having(words, labels.select("node"), "node").groupBy("node").agg(F.any_value("words").alias("words"))
     rare = staged(_rare(some, threshold).join(labels, "node"), "rare")
     sizes = rare.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     rows = lookup_join(rare, staged(sizes, "rare-sizes"), ["token"], "size", rare.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -293,7 +336,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     kept: the row whose document stays, one of each class (repeated rows of it have equal row_key()s in row).
 
     Texts of equal lower-cased words are one class, empty and null ones too. Texts of fewer than K words link only to equal
-    ones. Repeated rows stay and count; null doc_ids never are a class_id unless all are. Other columns aren't read.
+    ones. Repeated rows stay and count; null doc_ids never are a class_id unless all are. An empty table gives no rows; other
+    columns aren't read.
     """
     table = staged(sketched(docs), "sketches")
     words = table.select("node", "words")
@@ -318,7 +362,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         links = links.union(new)
         mixed = _labelled(mixed.select("node", "band", "hash"), links, f"labels{i + 1}")
     links = links.union(verified(_sweep(mixed, nodes, words, threshold), words, "swept", threshold))
-    labels = components(links, "classes")
+    labels = connected_components(links).withColumnRenamed("component", "label")
     counted = table.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first_row"), F.count("*").alias("copies")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = staged(counted, "counted")
     classes = counted.groupBy("label").agg(F.min("first_row").alias("stays"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
@@ -328,11 +372,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The row of docs that stays of each class, with docs' columns; repeated rows of it count once."""
-    stays = near_duplicates(docs, threshold).filter("kept").select("row").distinct()
-    keyed = docs.withColumn("near_dedup_row_", row_key())
-    return keyed.join(stays, keyed["near_dedup_row_"] == stays["row"], "left_semi").dropDuplicates(["near_dedup_row_"]).drop("near_dedup_row_")
+    """The row of docs that stays of each class, with docs' columns, whatever their names; repeated rows of it count once.
+
+    Documents that a filter of the rows of larger classes rules out stay where they are.
+    """
+    several = near_duplicates(docs, threshold).filter("class_size > 1")
+    key, stays, n = (unused(c, docs.columns) for c in ("row", "stays", "n"))
+    rows = staged(several.groupBy("row").agg(F.bool_or("kept").alias(stays), F.count("*").alias(n)).withColumnRenamed("row", key), "several")
+    out, may = Filter(rows, key).split(docs.withColumn(key, row_key()), key)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    looked = lookup_join(may, rows, [key], n, docs.count(), "left")
+    alone = looked.filter(F.col(stays).isNull()).select(*own)
+    first = looked.filter(F.col(stays)).dropDuplicates([key]).select(*own)
+    return out.select(*own).unionByName(alone).unionByName(first)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near_duplicates() of all documents, which defines odd rows; an empty table gives no rows."""
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
