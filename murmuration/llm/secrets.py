@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import Filter, read_table, staged, unused
 
 try:
     from re import _constants as sre
@@ -50,6 +50,9 @@ RULES = (
 #: A query: a set of alternatives, each a set of trigrams that must all occur. None: no trigram is mandatory.
 Query = frozenset[frozenset[str]] | None
 MOST_STRINGS = 64
+SPANS = "array<struct<start:int,kind:int,end:int,size:int>>"
+#: Spans that are appended to one list, and spans from which redaction cuts a text's characters instead of the text.
+LAID_ASIDE, MANY = 256, 64
 
 
 def trigrams(text: str) -> frozenset[str]:
@@ -164,41 +167,86 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else matches
     rows = F.arrays_zip(matches.alias("m"), gaps.alias("g"), kept.alias("k"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,size:int>>")
+    empty, none = F.array().cast(SPANS), F.array().cast(f"array<{SPANS}>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.length(x["k"]).alias("size"))
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.length(x["k"]).alias("size")))
+        # appending copies: a full list is laid aside
+        full = F.size(acc["out"]) >= LAID_ASIDE
+        done = F.when(full, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"])
+        out = F.when(full, one).otherwise(F.concat(acc["out"], one))
         # the last gap has no match
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), done.alias("done"), out.alias("out")))
 
-    all_of_them = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("done"), empty.alias("out"))
+    all_of_them = F.aggregate(rows, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["out"]))
     return F.filter(all_of_them, lambda x: x["size"] >= rule.least)
 
 
+def spans_column(columns: list[str]) -> str:
+    """The name of the column that scan() adds to these."""
+    return unused("secret_spans", columns)
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with secret_spans, array<struct<start, kind, end, size>>, sorted by start, then by the rules' order.
 
-    Null text counts as empty and has no spans. Repeated and null doc_ids are fine: candidates are a superset that the
-    expressions verify. Other columns stay. Expressions may not match the empty text.
+    Null text counts as empty and has no spans; an empty table stays empty. Repeated and null doc_ids are fine: candidates
+    are a superset that the expressions verify. Other columns stay; if one is called secret_spans, the new one is
+    spans_column(docs.columns). Expressions may not match the empty text.
     """
-    names = {f"may_{r.kind}" for r in rules} | {"secret_spans"}
-    if names & set(docs.columns):
-        raise ValueError(f"columns of docs clash with {sorted(names)}")
-    may = candidates(staged(build_index(docs, rules), "postings"), rules) if any(trigram_query(r.pattern) for r in rules) else None
-    rows = docs
-    if may is not None:
-        may = may.withColumnRenamed("doc_id", "may_doc_id_")
-        rows = docs.join(may, docs["doc_id"].eqNullSafe(may["may_doc_id_"]), "left").drop("may_doc_id_")
+    asked = [r for r in rules if trigram_query(r.pattern)]
+    name = spans_column(docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,size:int>>")
-    found = []
-    for i, rule in enumerate(rules):
-        may_hold = F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if trigram_query(rule.pattern) else F.lit(True)
-        found.append(F.when(may_hold & text.rlike(rule.pattern), spans_of(rule, i, text)).otherwise(none))
-    out = rows.withColumn("secret_spans", F.array_sort(F.concat(*found)))
-    return out.select(*[docs[c] for c in docs.columns], "secret_spans")
+
+    def found(rows: DataFrame, may: dict[str, Column]) -> DataFrame:
+        spans = [F.array().cast(SPANS)]
+        for i, rule in enumerate(rules):
+            if rule not in asked or rule.kind in may:
+                holds = text.rlike(rule.pattern) & may.get(rule.kind, F.lit(True))
+                spans.append(F.when(holds, spans_of(rule, i, text)).otherwise(F.array().cast(SPANS)))
+        return rows.select(*own, F.array_sort(F.concat(*spans)).alias(name))
+
+    if not asked:
+        return found(docs, {})
+    flags = [f"may_{r.kind}" for r in asked]
+    every = candidates(staged(build_index(docs, rules), "postings"), rules)
+    some = staged(every.filter(reduce(lambda a, b: a | b, map(F.col, flags))), "candidates")
+    # a document that is no rule's candidate stays where it is
+    key, names = unused("may_doc_id", docs.columns), {c: unused(c, docs.columns) for c in flags}
+    none, may = Filter(some, "doc_id").split(docs, "doc_id")
+    some = some.select(F.col("doc_id").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    joined = may.join(some, may["doc_id"].eqNullSafe(some[key]), "left")
+    return found(none, {}).unionByName(found(joined, {r.kind: F.coalesce(F.col(names[f"may_{r.kind}"]), F.lit(False)) for r in asked}))
+
+
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """text with each stretch of spans replaced by mark, overlapping ones together."""
+    empty, none = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+
+    def cut(piece) -> Column:
+        """piece(from, to): the text between two places."""
+
+        def step(acc: Column, x: Column) -> Column:
+            full = F.size(acc["out"]) >= LAID_ASIDE
+            put = F.array(piece(acc["at"], x["start"]))
+            done = F.when(full, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"])
+            out = F.when(full, put).otherwise(F.concat(acc["out"], put))
+            end = F.greatest(acc["at"], x["end"]).alias("at")
+            return F.when(x["start"] >= acc["at"], F.struct(end, done.alias("done"), out.alias("out"))).otherwise(F.struct(end, acc["done"].alias("done"), acc["out"].alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), none.alias("done"), empty.alias("out"))
+        parts = lambda acc: F.concat(F.flatten(acc["done"]), acc["out"], F.array(piece(acc["at"], F.length(text))))
+        return F.array_join(F.aggregate(spans, start, step, parts), mark)
+
+    few = cut(lambda a, b: F.substring(text, a + 1, b - a))
+    # a place in a text is found by counting from its start, one in an array at once
+    letters = F.filter(F.split(text, ""), lambda x: F.length(x) > 0)
+    many = F.get(F.transform(F.array(letters), lambda z: cut(lambda a, b: F.array_join(F.slice(z, a + 1, b - a), ""))), F.lit(0))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= MANY, few).otherwise(many)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -206,20 +254,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
     A column n_chars follows the text; other columns stay.
     """
-    found = scan(docs, rules)
-    text = F.col("text")
-
-    def step(acc: Column, x: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans")
+    spans = F.col(spans_column(docs.columns))
+    out = scan(docs, rules).withColumn("text", redacted(F.col("text"), spans, mark))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -228,6 +268,7 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of scan() of all documents, one row each; odd rows as there."""
     found = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("secret_spans", lambda x: x["kind"] < sum(r.base for r in RULES))
