@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,27 +127,25 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], rounds: int =
     return Trees(np.array(roots, int), table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4], bias, depth)
 
 
+def _measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and FEATURES of each text; null counts as empty."""
+    found = [statistics(t.as_py() or "") for t in texts]
+    return np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE)), np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
+
+
 def _stats(docs: DataFrame, extra: list[str], score=None) -> DataFrame:
-    """extra columns, BASE and either FEATURES or the score of each row."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            found = [statistics(t or "") for t in df["text_"]]
-            out = df[extra].reset_index(drop=True)
-            base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
-            x = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
-            for i, name in enumerate(BASE):
-                out[name] = base[:, i]
-            if score is None:
-                for i, name in enumerate(FEATURES):
-                    out[name] = x[:, i]
-            else:
-                out["quality_score"] = score(x) if len(x) else np.zeros(0)
-            yield out
+    """extra columns as they are, BASE and either FEATURES or the score of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, x = _measured(batch.column(len(extra)))
+            more = x.T if score is None else [score(x) if len(x) else np.zeros(0)]
+            arrays = [*batch.columns[: len(extra)], *(pa.array(c) for c in base.T), *(pa.array(c, pa.float64()) for c in more)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*extra, *BASE, *(list(FEATURES) if score is None else ["quality_score"])])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = [f"`{c}` {kinds[c]}" for c in extra] + [f"{c} long" for c in BASE] + ([f"{c} double" for c in FEATURES] if score is None else ["quality_score double"])
-    return docs.select(*extra, F.coalesce(F.col("text"), F.lit("")).alias("text_")).mapInPandas(run, ", ".join(columns))
+    return docs.select(*extra, F.col("text").cast("string").alias("text_")).mapInArrow(run, ", ".join(columns))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
@@ -171,19 +169,19 @@ def quality(docs: DataFrame, trees: Trees, least_score: float = 0.0) -> DataFram
 
 
 def keep_good(docs: DataFrame, trees: Trees, least_score: float = 0.0) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns, judged where they lie."""
+    """The rows of docs that quality() keeps, with docs' columns as they are, judged where they lie."""
+    at = docs.columns.index("text")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            found = [statistics(t if isinstance(t, str) else "") for t in df["text"]]
-            base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
-            x = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, x = _measured(batch.column(at))
             good = (base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0]) & (trees.score(x) >= least_score if len(x) else np.zeros(0, bool))
-            yield df[good]
+            yield batch.filter(pa.array(good))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality() of all documents by trees fitted on the labels; odd rows as there. No labels: all scores are even and none rejects."""
     docs = read_table(spark, sf_dir, "documents")
     return quality(docs, fit(docs, read_table(spark, sf_dir, "labels")))
