@@ -99,8 +99,17 @@ def write_warc(records: DataFrame, folder: str) -> list[tuple[str, int]]:
     return [(r.path, r.size) for r in rows.mapInPandas(write, "path string, size long").collect()]
 
 
-def members(stream: Any, start: int, end: int) -> Iterator[bytes]:
-    """The decompressed members that start in [start, end) of a seekable stream."""
+class Damaged(ValueError):
+    """An archive holds bytes that are no whole record where one has to be."""
+
+
+def members(stream: Any, start: int, end: int, damaged: str = "raise") -> Iterator[bytes]:
+    """The decompressed members that start in [start, end) of a seekable stream.
+
+    An archive is its members without gaps, so a member has to start at its first byte and wherever one ends. Where none
+    does, or one whose header is right breaks off, damaged says what happens: "raise" Damaged, or "skip" to the next one.
+    The member after the last one is looked at too, as no range may own it. An empty stream has none.
+    """
     held, base = b"", start  # held: bytes from base on
 
     def fill(n: int) -> bool:
@@ -110,48 +119,67 @@ def members(stream: Any, start: int, end: int) -> Iterator[bytes]:
         held += more
         return bool(more)
 
-    def member() -> bytes | None:
-        """The member at base; held then starts after it. None if there is none."""
+    def member(whole: bool = True) -> bytes | None:
+        """The member at base, or just its first bytes; held starts after a whole one. None if there is none."""
         nonlocal held, base
         unzip, parts, used, head = zlib.decompressobj(31), [], 0, b""
         while not unzip.eof:
             if used == len(held) and not fill(CHUNK):
-                return None
+                if len(head) < 5:
+                    return None
+                raise Damaged(f"the archive ends in the record at {base}")
             piece = held[used:]
             try:
                 parts.append(unzip.decompress(piece))
-            except zlib.error:
-                return None
+            except zlib.error as e:
+                if len(head) < 5:
+                    return None
+                raise Damaged(f"the record at {base} is damaged") from e
             used = len(held) - len(unzip.unused_data) if unzip.eof else len(held)
             if len(head) < 5:
                 head = b"".join(parts)[:5]
                 if head != b"WARC/"[: len(head)]:
                     return None
+            if not whole and len(head) == 5:
+                return head
+        if len(head) < 5:
+            return None
         held, base = held[used:], base + used
         return b"".join(parts)
 
-    while base < end:
-        if len(held) < len(MAGIC) and not fill(CHUNK) and len(held) < len(MAGIC):
+    due = 0  # where a member has to start, if that is known
+    while True:
+        if len(held) < len(MAGIC) and not fill(CHUNK) and not held:
             return
-        at = held.find(MAGIC)
-        if at < 0:
-            skip = max(0, len(held) - len(MAGIC) + 1)
-            held, base = held[skip:], base + skip
-            if not fill(CHUNK):
-                return
-            continue
-        held, base = held[at:], base + at
-        if base >= end:
+        if base >= end and base != due:
+            return
+        try:
+            found = member(base < end) if held.startswith(MAGIC) else None
+            if found is None and base == due:
+                raise Damaged(f"no record starts at {base}")
+        except Damaged:
+            if damaged == "raise":
+                raise
+            found = None
+        if base >= end and (found is None or base == due):
             return
-        found = member()
-        if found is None:
-            held, base = held[1:], base + 1
-        else:
+        if found is not None:
+            due = base
             yield found
+            continue
+        due = -1
+        at = held.find(MAGIC, 1)
+        skip = at if at >= 0 else max(1, len(held) - len(MAGIC) + 1)
+        held, base = held[skip:], base + skip
+        if at < 0 and not fill(CHUNK):
+            return
+
 
+def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, payload: bool = True, damaged: str = "raise") -> DataFrame:
+    """RECORDS of all archives (path, size), by byte ranges; payload is null in revisit records, or always if not asked for.
 
-def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """RECORDS of all archives (path, size), by byte ranges; payload is null in revisit records, or always if not asked for."""
+    Damaged or cut records fail the read, unless damaged is "skip": then they are left out. No archives give no rows.
+    """
     ranges = [(p, a, min(a + split_bytes, n)) for p, n in archives for a in range(0, n, split_bytes)]
     columns = RECORDS if payload else RECORDS.rsplit(",", 1)[0]
     names = [x.split()[0] for x in columns.split(", ")]
@@ -162,8 +190,12 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes:
                 files, place = _filesystem(path)
                 with files.open_input_file(place) as stream:
                     rows, size = [], 0
-                    for data in members(stream, start, end):
-                        rows.append(decode_record(data))
+                    for data in members(stream, start, end, damaged):
+                        try:
+                            rows.append(decode_record(data))
+                        except (ValueError, KeyError):
+                            if damaged == "raise":
+                                raise
                         size += len(data) if payload else 300
                         if size > 16 << 20:
                             yield _frame(rows, names)
@@ -198,6 +230,7 @@ def archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> list[t
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written by archive() and read back by read_warc(), which define odd rows; no pages, no rows."""
     archives = archive(read_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_warc(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
