@@ -13,13 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
-from .common import read_table, staged
+from .common import read_table, staged, unused
 
 SEQUENCE = 2048
 
@@ -92,34 +91,39 @@ def best_fit(counts: dict[int, int], size: int = SEQUENCE) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length from 1 to size; any other columns stay.
+    """Adds sequence_id and offset to rows with a length from 1 to size; columns of these names are replaced, all others stay.
 
-    Rows keep their number; ties of length go by doc_id and piece, repeated rows by place. An empty table stays empty.
+    Rows keep their number; ties of length go by doc_id and piece, repeated rows by place; null doc_ids are fine. An empty
+    table stays empty.
     """
-    schema = pieces.schema
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in names])
     n_parts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.desc("length"), F.xxhash64("doc_id", "piece"), "doc_id", "piece"]
     parts = pieces.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    part_name, at_name = unused("part", names), unused("at", names)
+    length_at = names.index("length")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def ranked(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen, last = TaskContext.get().partitionId(), 0, None
-        for df in it:
-            v = df["length"].to_numpy()
-            start = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+        for batch in it:
+            v = batch.column(length_at).to_numpy(zero_copy_only=False)
+            if not len(v):
+                continue
+            start = np.concatenate([[True], v[1:] != v[:-1]])
             at = np.arange(len(v)) - np.maximum.accumulate(np.where(start, np.arange(len(v)), 0))
-            if len(v) and v[0] == last:
+            if v[0] == last:
                 head = np.flatnonzero(start)[1] if start.sum() > 1 else len(v)
                 at[:head] += seen
-            if len(v):
-                last, seen = v[-1], int(at[-1]) + 1
-            yield df.assign(part_=np.int32(part), at_=at.astype(np.int64))
+            last, seen = v[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(at.astype(np.int64))], names=[*names, part_name, at_name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    sorted_rows = staged(parts.mapInPandas(ranked, f"{fields}, part_ int, at_ long"), "sorted")
+    sorted_rows = staged(parts.mapInArrow(ranked, f"{fields}, {part_name} int, {at_name} long"), "sorted")
     # range-sorted: at most one row for each length and one for each part
-    heads = sorted_rows.groupBy("part_", "length").count().collect()
+    heads = sorted_rows.groupBy(part_name, "length").count().collect()
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
     for part, length, n in sorted(map(tuple, heads)):
@@ -131,17 +135,21 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     by = np.argsort(firsts)
     plan, firsts = plan[by], firsts[by]
 
-    def placed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            length = df["length"].to_numpy()
-            base = np.array([before[k] for k in zip(df["part_"].tolist(), length.tolist())], dtype=np.int64)
-            rank = base + df["at_"].to_numpy()
-            row = plan[np.searchsorted(firsts, length * wide + rank, side="right") - 1] if len(df) else np.zeros((0, 6), np.int64)
+    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            length = batch.column(length_at).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(length):
+                continue
+            part, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns[len(names) :])
+            rank = np.array([before[k] for k in zip(part.tolist(), length.tolist())], dtype=np.int64) + at
+            row = plan[np.searchsorted(firsts, length * wide + rank, side="right") - 1]
             nth = rank - row[:, 1]
-            yield df.drop(columns=["part_", "at_"]).assign(sequence_id=row[:, 3] + nth // np.maximum(row[:, 4], 1), offset=row[:, 5] + nth % np.maximum(row[:, 4], 1) * length)
+            sequence, offset = row[:, 3] + nth // row[:, 4], row[:, 5] + nth % row[:, 4] * length
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return sorted_rows.mapInPandas(placed, f"{fields}, sequence_id long, offset long")
+    return sorted_rows.mapInArrow(placed, f"{fields}, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of the pieces of all documents that cut() makes, which define odd rows; no documents, no rows."""
     return pack(staged(cut(read_table(spark, sf_dir, "documents"), default_path()), "pieces"))
