@@ -32,6 +32,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Keys that a training task gathers before it passes them on, and text bytes that are scored at once.
 GATHERED, AT_ONCE = 3_000_000, 2_000_000
 REMEMBERED = 300_000
+#: Bits of a word count's lower half.
+COUNT_BITS = 20
 GRAM, WORD = 0, 1
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
@@ -43,6 +45,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def joined_counts(halves: np.ndarray) -> np.ndarray:
+    return halves[:, 0].astype(np.float64) * (1 << COUNT_BITS) + halves[:, 1]
+
+
 def keys_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The key (context, nearest byte first, then the next byte) of every byte and end, and where each text starts."""
     pad = bytes([END]) * order
@@ -361,7 +367,7 @@ class Model:
 
     def open(self) -> tuple[Table, Table, Table]:
         if self._open is None:
-            self._open = (open_table(self.pairs, 1), open_table(self.contexts, 4), open_table(self.words, 1))
+            self._open = (open_table(self.pairs, 1), open_table(self.contexts, 4), open_table(self.words, 2))
         return self._open
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -455,7 +461,8 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     return Model(
         write_table(trie.filter("pair"), 1, "pairs"),
         write_table(trie.filter("not pair"), 4, "contexts"),
-        write_table(words.select("key", F.col("n").cast("float").alias("v0")), 1, "words"),
+        # counts in two halves, as single floats are exact up to 2^24 only
+        write_table(words.select("key", F.shiftright("n", COUNT_BITS).cast("float").alias("v0"), F.col("n").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("float").alias("v1")), 2, "words"),
         dense, int(total) + n_texts, int(vocabulary) + (n_texts > 0), n_texts, order,
     )
 
@@ -483,7 +490,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     memory.clear()
                 new = list(set().union(*split) - memory.keys())
                 rows = table.find(np.fromiter(map(word_hash, new), U, len(new)))
-                counts = np.where(rows >= 0, table.values[np.maximum(rows, 0), 0], 0).astype(np.float64) if table.capacity else np.zeros(len(new))
+                counts = np.where(rows >= 0, joined_counts(table.values[np.maximum(rows, 0)]), 0) if table.capacity else np.zeros(len(new))
                 memory.update(zip(new, np.where(counts > 0, np.log10(counts + 0.5) - log, unknown).tolist()))
                 for words in split:
                     logs = list(map(memory.__getitem__, words))
@@ -501,6 +508,7 @@ def held_out(doc_id: Any) -> Any:
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a model of those that aren't held_out(); odd rows as there. Words are known by 64-bit hashes."""
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out(F.col("doc_id"))).select("text"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
