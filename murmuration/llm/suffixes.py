@@ -2,9 +2,11 @@
 
 Only suffixes at content-selected positions are retained: the minimisers of word k-grams. Any passage of LEAST words
 holds a minimiser among its first WINDOW words, the same in each copy, so each copy retains a suffix whose next
-LEAST - WINDOW + 1 words are equal. Suffixes are sorted by a 64-bit hash of those words, not in the order of the words, and
-neighbours are compared by that hash; around the ones that have an equal neighbour in another document, the windows of
-LEAST words that hold the minimiser are hashed, sorted and compared likewise (no matched pair is extended), and overlapping windows grow into maximal spans.
+LEAST - WINDOW + 1 words are equal. Suffixes are sorted by a hash of those words and neighbours of different documents
+compared. A match is then extended: by 0 to WINDOW - 1 words to the left, and to the right up to LEAST words. The sort
+key is a hash, as any order in which equal words are neighbours will do, and all WINDOW extensions of a suffix are sorted
+and compared, as the neighbour that agrees furthest to the right needn't be the one that agrees to the left. Extensions
+count as equal if two independent 64-bit hashes of their words are, and overlapping ones grow into maximal spans.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from murmuration.operators.graph import connected_components
+
+from .common import lookup_join, read_table, staged
 
 LEAST, GRAM, WINDOW = 50, 8, 16
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
+#: Makes another hash of each word for the second rolling hash.
+SECOND = U(0xD6E8FEB86659FD93)
 
 
 class Words(dict):
@@ -72,12 +78,10 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def _batch(doc: list, keys: list, at: list) -> pa.RecordBatch:
+def _batch(doc: list, at: list, keys: list[list]) -> pa.RecordBatch:
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(join(keys, U).view(np.int64)), pa.array(join(doc, np.int64)), pa.array(join(at, np.int32))], names=["key", "doc", "at"])
-
-
-KEYED = "key long, doc long, at int"
+    arrays = [*(pa.array(join(k, U).view(np.int64)) for k in keys), pa.array(join(doc, np.int64)), pa.array(join(at, np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, names=[*("key", "check")[: len(keys)], "doc", "at"])
 
 
 def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -102,113 +106,138 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int
                 doc.append(np.full(len(p), d))
                 keys.append(rolling.at(p, size))
                 at.append(p)
-            yield _batch(doc, keys, at)
+            yield _batch(doc, at, [keys])
 
-    return docs.select("doc", "text").mapInArrow(run, KEYED)
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, at int")
 
 
 def windows(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """(key, doc, at) of the windows of least words that start up to window - 1 words before a position in array column at."""
+    """(key, check, doc, at) of the windows of least words that start up to window - 1 words before a position in array column at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
         for batch in batches:
-            doc, keys, at = [], [], []
+            doc, keys, checks, at = [], [], [], []
             texts, places = batch.column(1), batch.column(2)
             for i, d in enumerate(batch.column(0).to_pylist()):
-                words = texts[i].as_py().encode().split()
+                h = hashed(texts[i].as_py().encode().split(), memory)
                 p = np.asarray(places[i].as_py(), np.int64)
                 starts = np.unique((p[:, None] - np.arange(window)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts + least <= len(words))]
+                starts = starts[(starts >= 0) & (starts + least <= len(h))]
                 doc.append(np.full(len(starts), d))
-                keys.append(Rolling(hashed(words, memory)).at(starts, least))
+                keys.append(Rolling(h).at(starts, least))
+                other = (h ^ (h >> U(32))) * SECOND
+                checks.append(Rolling(other ^ (other >> U(29))).at(starts, least))
                 at.append(starts)
-            yield _batch(doc, keys, at)
+            yield _batch(doc, at, [keys, checks])
 
-    return docs.select("doc", "text", "at").mapInArrow(run, KEYED)
+    return docs.select("doc", "text", "at").mapInArrow(run, "key long, check long, doc long, at int")
 
 
-def shared(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (doc, at) whose key stands in another document too, by sorting and comparing neighbours.
+def shared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, at) whose keys stand in another document too, by sorting and comparing neighbours; and links.
 
-    Rows are range-sorted by (key, doc), so a hot key spreads over tasks. A task holds the rows of one document and key
-    at most. The first and the last run of a task may go on in others: four markers a task tell whether they do.
+    rows: keys (one or two), doc, at. Links (doc, other) join the documents of each key, not each with each. Rows are
+    range-sorted by keys and doc, so a hot key spreads over tasks. A task holds the rows of one document and key at most.
+    The first and the last run of a task may go on in others: four markers a task tell whether they do.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = staged(rows, name).repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc")
+    keys = rows.columns[:-2]
+    ordered = staged(rows, name).repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
     matched, undecided, marker = 0, 1, 2
+    names = ["kind", *keys, "doc", "at", "other"]
 
-    def out(kind: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(doc), pa.array(at.astype(np.int32))], names=["kind", "key", "doc", "at"])
+    def out(kind: int, columns: list[np.ndarray], where: slice | np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+        part = [c[where] for c in columns]
+        n = len(part[0])
+        arrays = [pa.array(np.full(n, kind, np.int8)), *(pa.array(c) for c in part[:-1]), pa.array(part[-1].astype(np.int32)), pa.array(part[-2] if other is None else other)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        known: int | None = None  # the key of the open run, once it has two documents
-        first_key: int | None = None
-        last: tuple[int, int] | None = None
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * (len(keys) + 2)
+        known: tuple[tuple[int, ...], int] | None = None  # the keys of the open run and its first document, once it has two
+        first_keys: tuple[int, ...] | None = None
+        last: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if first_key is None:
-                first_key = int(new[0][0])
-                yield out(marker, new[0][:1], new[1][:1], new[2][:1])
-            key, doc, at = (np.concatenate(x) for x in zip(held, new))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            end = np.append(first[1:], len(key))
-            both = doc[first] != doc[end - 1]
-            if known is not None and key[0] == known:
-                both[0] = True
+            keys_at = lambda i: tuple(int(c[i]) for c in columns[: len(keys)])
+            if first_keys is None:
+                columns = new
+                first_keys = keys_at(0)
+                yield out(marker, new, slice(0, 1))
+            columns = [np.concatenate(x) for x in zip(held, new)]
+            doc, n = columns[-2], len(columns[0])
+            change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[: len(keys)]])
+            first = np.flatnonzero(np.concatenate([[True], change]))
+            end = np.append(first[1:], n)
+            both, other = doc[first] != doc[end - 1], doc[first].copy()
+            if known is not None and keys_at(0) == known[0]:
+                both[0], other[0] = True, known[1]
             keep = np.repeat(both, end - first)
-            yield out(matched, key[keep], doc[keep], at[keep])
+            yield out(matched, columns, keep, np.repeat(other, end - first)[keep])
             # the first run of the task ends here without another document in it
-            if key[0] == first_key and len(first) > 1 and not both[0]:
-                yield out(undecided, key[: end[0]], doc[: end[0]], at[: end[0]])
-            if key[0] == first_key and (len(first) > 1 or both[0]):
-                yield out(marker, key[end[0] - 1 : end[0]], doc[end[0] - 1 : end[0]], at[end[0] - 1 : end[0]])
-            known = int(key[-1]) if both[-1] else None
-            open_ = len(key) if both[-1] else first[-1]
-            held = [key[open_:], doc[open_:], at[open_:]]
-            last = int(key[-1]), int(doc[-1])
+            if keys_at(0) == first_keys and len(first) > 1 and not both[0]:
+                yield out(undecided, columns, slice(0, end[0]))
+            if keys_at(0) == first_keys and (len(first) > 1 or both[0]):
+                yield out(marker, columns, slice(end[0] - 1, end[0]))
+            known = (keys_at(-1), int(other[-1])) if both[-1] else None
+            open_ = n if both[-1] else first[-1]
+            held, last = [c[open_:] for c in columns], [c[-1:] for c in columns]
         if last is not None:
-            yield out(undecided, *held)
-            yield out(marker, np.array(last[:1]), np.array(last[1:]), np.zeros(1, np.int64))
+            yield out(undecided, held, slice(None))
+            yield out(marker, last, slice(None))
 
-    found = staged(ordered.mapInArrow(compare, "kind byte, key long, doc long, at int"), name + "-matched")
+    kinds = "kind byte, " + "".join(f"{k} long, " for k in keys) + "doc long, at int, other long"
+    found = staged(ordered.mapInArrow(compare, kinds), name + "-matched")
     # several rows a task at most: the documents of the keys at the borders of tasks, of which two tell enough
-    ends = found.filter(F.col("kind") == marker).groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("key")
-    late = found.filter(F.col("kind") == undecided).join(ends, "key", "left_semi")
-    return found.filter(F.col("kind") == matched).select("doc", "at").unionByName(late.select("doc", "at"))
+    markers = found.filter(F.col("kind") == marker)
+    ends = staged(markers.groupBy(*keys).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select(*keys, "a"), name + "-ends")
+    late = found.filter(F.col("kind") == undecided).join(ends, keys)
+    inside = found.filter(F.col("kind") == matched)
+    links = inside.select("doc", "other").union(late.select("doc", "a")).union(markers.join(ends, keys).select("doc", "a")).filter("doc <> other").distinct()
+    return inside.select("doc", "at").unionByName(late.select("doc", "at")), links
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_spans, n_repeated_words, spans) of each document: its passages of least words or more that other documents hold too.
+    """One row per document: doc_id, n_spans, n_repeated_words, spans (its passages of least words or more that other
+    documents hold too), class_id and class_size (of the documents that passages join, directly or through others).
 
-    spans: "start:end" in words (runs of characters other than ASCII white space), end exclusive, comma-joined, disjoint and in order;
-    adjoining ones are one. Null text counts as empty; short texts have no spans; a repeated row (same doc_id and text) is no
-    other document and gives one row. Other columns aren't read.
+    spans: "start:end" in words (runs of characters other than ASCII white space), end exclusive, comma-joined, disjoint and in
+    order; adjoining ones are one. class_id: the least doc_id of the class; a null one never is, unless all are. Null text counts
+    as empty; short texts have no spans and are their own class; a repeated row (same doc_id and text) is no other document and
+    gives one row. An empty table gives no rows; other columns aren't read.
     """
     rows = _documents(docs)
-    found = shared(suffixes(rows, least, gram, window), "suffixes")
+    found, _ = shared(suffixes(rows, least, gram, window), "suffixes")
     places = staged(found.groupBy("doc").agg(F.collect_list("at").alias("at")), "places")
-    extended = shared(windows(rows.join(places, "doc"), least, window), "windows")
+    extended, links = shared(windows(rows.join(places, "doc"), least, window), "windows")
     spans = extended.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for p in batch.column(1).to_pylist():
+            for p in batch.column(2).to_pylist():
                 s = np.asarray(p or [], np.int64)
                 first = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + least])) if len(s) else np.zeros(0, np.int64)
                 a, b = s[first], (s[np.append(first[1:], len(s)) - 1] + least if len(s) else s)
                 out[0].append(len(a))
                 out[1].append(int((b - a).sum()))
                 out[2].append(",".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_spans", "n_repeated_words", "spans"])
+            types = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, t) for x, t in zip(out, types))], names=["doc", "doc_id", "n_spans", "n_repeated_words", "spans"])
 
-    ids = rows.select("doc", "doc_id").distinct()
-    return ids.join(spans, "doc", "left").select("doc_id", "at").mapInArrow(grow, "doc_id long, n_spans long, n_repeated_words long, spans string")
+    ids = staged(rows.select("doc", "doc_id").distinct(), "ids")
+    spans = ids.join(spans, "doc", "left").select("doc", "doc_id", "at").mapInArrow(grow, "doc long, doc_id long, n_spans long, n_repeated_words long, spans string")
+    labels = connected_components(links.select(F.col("doc").alias("a"), F.col("other").alias("b"))).toDF("doc", "label")
+    joined = staged(ids.join(labels, "doc"), "joined")
+    classes = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    of = lookup_join(joined, classes, ["label"], "class_size", joined.count()).select("doc", "class_id", "class_size")
+    size = F.coalesce("class_size", F.lit(1)).cast("long")
+    return spans.join(of, "doc", "left").select("doc_id", "n_spans", "n_repeated_words", "spans", F.coalesce("class_id", "doc_id").alias("class_id"), size.alias("class_size"))
 
 
 def op4_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_passages() of all documents, which defines odd rows."""
     return repeated_passages(read_table(spark, sf_dir, "documents"))
