@@ -1,6 +1,4 @@
-import hashlib
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -257,17 +255,3 @@ def test_html_keeps_what_stands_beside_the_best_container(spark):
 def test_html_keeps_articles_in_named_wrappers(page):
     text = ("Some words of the article. " * 5).strip()
     assert html_extract.extract(f"<body>{page.format(text)}</body>", None) == text
-
-
-def test_ppm_shares_sum_to_one():
-    from murmuration.llm import ppm
-
-    pairs = np.zeros((256, 256))
-    pairs[ppm.END, 97] = 3
-    pairs[97, ppm.END] = 3
-    dense = ppm.Dense(pairs)
-    assert dense.seen0 and dense.uniform == pytest.approx(-np.log10(254))
-    table = ppm.Table(*ppm.Table.shard(np.arange(1, 50, dtype=np.uint64), np.arange(1, 50)[:, None].astype(float), 1, 128), 1)
-    assert (table.values[table.find(np.arange(1, 50, dtype=np.uint64)), 0] == np.arange(1, 50)).all()
-    assert (table.find(np.arange(100, 150, dtype=np.uint64)) == -1).all()
-    assert zlib.crc32(b"1") % 5 in range(5) and hashlib.sha256(b"").hexdigest()
