@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +90,25 @@ def tokens(c: Column, stopwords: Iterable[str] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
+def words(c: Column, cut: Callable[[str], Iterable[str]] | None = None, stopwords: Iterable[str] = ()) -> Column:
+    """Tokens of a word segmenter in Arrow batches, trimmed, without empty ones and stopwords; without one, tokens().
+
+    cut: normalised text to words; None takes jieba's where that is installed.
+    """
+    if cut is None:
+        try:
+            from jieba import lcut as cut
+        except ImportError:
+            return tokens(c, stopwords)
+    stop = frozenset(stopwords)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for x in cut(t) if (w := x.strip()) and w not in stop])
+
+    return run(normalize(c))
+
+
 def ngrams(toks: Column, n: int) -> Column:
     """Runs of n tokens as arrays; none if n is not positive or there are fewer tokens."""
     if n <= 0:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
@@ -14,10 +14,15 @@ from murmuration.session import written
 from murmuration.operators.kernels import anchors_udf, greedy_clusters, shares_run_udf, simhash_udf
 from murmuration.sources.dataset import Dataset
 
-#: Members that a hit's evidence and its propagation hold.
+#: Members that a hit's evidence shows, and that it passes its score to unless max_members says otherwise (None: all).
 SHOWN = 30
 
 
+def passed_on(c: Context, actors: Column) -> Column:
+    most = c.params.get("max_members", SHOWN)
+    return actors if most is None else F.slice(actors, 1, int(most))
+
+
 def trailing_counts(data: Dataset, window_seconds: float) -> DataFrame:
     """Timed items with n, the topic's items in the window_seconds up to theirs, and the first one's time (microseconds).
 
@@ -66,7 +71,7 @@ def burst(c: Context) -> DataFrame:
     reason = F.format_string("'%s' had %d items in %.0f seconds (by %d actors, %.2f a second, %.1f times the background)", "topic", "n", "span", F.size("actors"), "local_rate", "ratio")
     shown = F.slice("actors", 1, SHOWN)
     evidence = F.struct("topic", F.col("n").alias("count"), F.round("span", 1).alias("span_seconds"), F.round("local_rate", 4).alias("local_rate"), F.round("background", 4).alias("background_rate"), F.round("ratio", 2).alias("density_ratio"), shown.alias("actors"), F.size("actors").alias("actor_count"))
-    return make_hits(rows, "coordination.burst", c.params, GROUP, target, strong_if(F.col("n") >= 2 * least), clamp(0.5 + (F.col("ratio") - ratio) / max(ratio, 1e-6), 0.4, 1.0), reason, evidence, shown)
+    return make_hits(rows, "coordination.burst", c.params, GROUP, target, strong_if(F.col("n") >= 2 * least), clamp(0.5 + (F.col("ratio") - ratio) / max(ratio, 1e-6), 0.4, 1.0), reason, evidence, passed_on(c, F.col("actors")))
 
 
 def cluster_candidates(data: Dataset, min_chars: int, max_per_topic: int | None) -> DataFrame:
@@ -125,7 +130,7 @@ def cluster(c: Context) -> DataFrame:
     shown = F.slice("actors", 1, SHOWN)
     reason = F.format_string("'%s' has %d texts that are much alike (by %d actors)", "topic", "size", F.size("actors"))
     evidence = F.struct("topic", "size", shown.alias("actors"), T.preview(F.col("sample")).alias("sample"), F.slice("item_ids", 1, SHOWN).alias("item_ids"))
-    return make_hits(rows, "coordination.cluster", c.params, GROUP, target, strong_if(F.col("size") >= 2 * least), clamp(0.5 + 0.1 * F.col("size"), 0.5, 1.0), reason, evidence, shown)
+    return make_hits(rows, "coordination.cluster", c.params, GROUP, target, strong_if(F.col("size") >= 2 * least), clamp(0.5 + 0.1 * F.col("size"), 0.5, 1.0), reason, evidence, passed_on(c, F.col("actors")))
 
 
 def topic_pairs(data: Dataset) -> DataFrame:
@@ -143,4 +148,4 @@ def cooccur(c: Context) -> DataFrame:
     shown = F.slice("nodes", 1, SHOWN)
     reason = F.concat(F.col("size").cast("string"), F.lit(" actors move in the same topics (density "), percent(F.col("density")), F.lit(")"))
     evidence = F.struct(shown.alias("members"), F.col("size").alias("member_count"), F.round("density", 3).alias("density"))
-    return make_hits(rows, "coordination.cooccur", c.params, GROUP, F.concat(F.lit("cooccur:"), F.col("community")), strong_if(F.col("size") >= 2 * least), clamp(0.4 + F.col("density"), 0.4, 1.0), reason, evidence, shown)
+    return make_hits(rows, "coordination.cooccur", c.params, GROUP, F.concat(F.lit("cooccur:"), F.col("community")), strong_if(F.col("size") >= 2 * least), clamp(0.4 + F.col("density"), 0.4, 1.0), reason, evidence, passed_on(c, F.col("nodes")))

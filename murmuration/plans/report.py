@@ -44,8 +44,11 @@ def picked(assessments: DataFrame, limit: int | None, least: str | None = None)
 
 def to_dict(row: dict[str, Any]) -> dict[str, Any]:
     hits = [{"signal": h["signal"], "kind": h["kind"], "level": h["level"], "score": round(h["score"], 4), "weight": h["weight"], "reason": h["reason"], "evidence": json.loads(h["evidence"] or "{}")} for h in row["hits"]]
-    keep = ("target", "target_kind", "label", "score", "level", "bonus", "promoted")
-    return {k: row[k] for k in keep} | {"level_label": LEVEL_NAMES[row["level"]], "hits": hits, "breakdown": row["breakdown"]}
+    keep = ("target", "target_kind", "label", "level", "promoted")
+    # rounded here, half to even, from what wasn't rounded before
+    numbers = {"score": round(row["exact_score"], 2), "bonus": round(row["bonus"], 2)}
+    parts = [{"signal": x["signal"], "contribution": round(x["contribution"], 2)} for x in row["breakdown"]]
+    return {k: row[k] for k in keep} | numbers | {"level_label": LEVEL_NAMES[row["level"]], "hits": hits, "breakdown": parts}
 
 
 def json_rows(assessments: DataFrame) -> DataFrame:

@@ -67,10 +67,10 @@ class Scorer:
         """An assessment a target: target_kind, target, label, score, level, bonus, promoted, hits, breakdown, n_hits.
 
         targets (target_kind, target) appear even without hits; labels (target, label) are looked up by target. hits are
-        sorted by score and signal; breakdown holds each one's rounded contribution. No order: see ranked().
+        sorted by score and signal; breakdown holds each one's contribution. No order: see ranked().
         """
         weighed = hits.withColumn("contribution", self.contribution())
-        one = F.struct((-F.col("score")).alias("order"), "signal", "kind", "level", "score", "weight", "reason", "evidence", "members", F.round(F.col("contribution") * self.scale, 2).alias("points"))
+        one = F.struct((-F.col("score")).alias("order"), "signal", "kind", "level", "score", "weight", "reason", "evidence", "members", (F.col("contribution") * self.scale).alias("points"))
         grouped = weighed.groupBy("target_kind", "target").agg(F.sum("contribution").alias("raw"), F.count_distinct("kind").alias("kinds"), F.max(F.col("level") == STRONG).alias("any_strong"), F.array_sort(F.collect_list(one)).alias("all"))
         if targets is not None:
             grouped = targets.select("target_kind", "target").distinct().join(grouped, ["target_kind", "target"], "full")

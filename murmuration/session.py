@@ -24,9 +24,12 @@ def session(app: str = "murmuration", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share, from spark.checkpoint.dir. A temporary one is made only where that is unset and
+    the session runs in one process; on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("murmuration.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="murmuration-")
@@ -34,8 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df through the shared folder, where its lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; drop_written() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df through the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+    path = new_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder, once nothing reads them; returns how many."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

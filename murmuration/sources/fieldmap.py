@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from typing import Any
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.scalars import epoch, optional, parse_time, to_int
 from murmuration.functions.text import strip
-from murmuration.sources.dataset import Dataset
+from murmuration.sources.dataset import Dataset, spread
 from murmuration.sources.records import from_dicts, read_jsonl
 from murmuration.session import written
 
@@ -89,8 +89,8 @@ class FieldMap:
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> FieldMap:
         """Unknown keys and values that aren't texts are ignored."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in raw.items() if k in known and isinstance(v, str)})
+        paths = ((f.name, raw.get(f.name)) for f in fields(cls))
+        return replace(cls(), **{name: path for name, path in paths if isinstance(path, str)})
 
 
 def fallback_id(topic: Column, text: Column, seq: Column) -> Column:
@@ -104,10 +104,12 @@ def fallback_id(topic: Column, text: Column, seq: Column) -> Column:
 
 @dataclass(frozen=True)
 class Adapter:
-    """Loads records into a Dataset by a field map."""
+    """Loads records into a Dataset by a field map. The dataset's source is the name, with the number of skipped records
+    unless told is false."""
 
     field_map: FieldMap = FieldMap()
     name: str = "mapped"
+    told: bool = True
 
     def load(self, spark: SparkSession, source: Any) -> Dataset:
         """source: the path of a JSON-lines file, records in memory, or a table (seq, record variant)."""
@@ -116,7 +118,9 @@ class Adapter:
         else:
             records = read_jsonl(spark, source) if isinstance(source, str) else from_dicts(spark, source)
         # records are parsed once: every signal reads the projected tables
-        return Dataset(written(self.items(records), "items"), written(self.actors(records), "actors"), self.name)
+        skipped = self.skipped(records).first()["skipped"] if self.told else 0
+        label = f"{self.name}(skipped={skipped})" if skipped else self.name
+        return Dataset(written(spread(self.items(records)), "items"), written(self.actors(records), "actors"), label)
 
     def valid(self, records: DataFrame) -> DataFrame:
         """Records that are objects and whose text is a text that isn't blank."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.functions.text import BLANKS
+from murmuration.session import new_path
 from murmuration.sources.dataset import Dataset
 from murmuration.sources.fieldmap import UNKNOWN, Adapter, FieldMap
 from murmuration.sources.records import with_order
@@ -18,11 +19,11 @@ FLAT_COMMENTS = FieldMap(item_id="cid", text="text", actor_id="user.uid", actor_
 
 
 def nested_comments() -> Adapter:
-    return Adapter(NESTED_COMMENTS, "nested-comments")
+    return Adapter(NESTED_COMMENTS, "bilibili", told=False)
 
 
 def flat_comments() -> Adapter:
-    return Adapter(FLAT_COMMENTS, "flat-comments")
+    return Adapter(FLAT_COMMENTS)
 
 
 def read_danmaku(spark: SparkSession, source: str, topic: str = "") -> DataFrame:
@@ -32,11 +33,9 @@ def read_danmaku(spark: SparkSession, source: str, topic: str = "") -> DataFrame
     """
     path = source
     if "<" in source:
-        # raw XML is small: it goes through a file, as the reader's executors share it only in local runs
-        folder = tempfile.mkdtemp(prefix="danmaku-")
-        path = os.path.join(folder, "raw.xml")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(source)
+        # raw XML is small: it goes through a file of the shared folder
+        path = new_path(spark, "danmaku")
+        spark.createDataFrame([(source,)], "value string").coalesce(1).write.text(path)
     nodes = spark.read.schema("_p string, _VALUE string").format("xml").option("rowTag", "d").load(path)
     rows = with_order(nodes).withColumn("parts", F.split("_p", ","))
     stem = F.regexp_extract(F.lit(path), r"([^/]+?)(\.[^./]*)?$", 1) if "<" not in source else F.lit("")
@@ -44,7 +43,7 @@ def read_danmaku(spark: SparkSession, source: str, topic: str = "") -> DataFrame
     return rows.filter((F.size("parts") >= 7) & (F.trim(F.coalesce("_VALUE", F.lit(""))) != "")).select(
         "seq",
         F.concat(F.lit("dm-"), F.col("seq").cast("string")).alias("item_id"),
-        F.regexp_replace("_VALUE", r"(?U)^\s+|\s+$", "").alias("text"),
+        F.btrim("_VALUE", F.lit(BLANKS)).alias("text"),
         F.coalesce(F.when(F.get("parts", F.lit(6)) != "", F.get("parts", F.lit(6))), F.lit(UNKNOWN)).alias("actor_id"),
         F.timestamp_micros((seconds * 1e6).cast("long")).alias("created_at"),
         (F.lit(topic) if topic else stem).alias("topic"),
@@ -53,7 +52,7 @@ def read_danmaku(spark: SparkSession, source: str, topic: str = "") -> DataFrame
 
 
 def load_danmaku(spark: SparkSession, source: str, topic: str = "") -> Dataset:
-    return Dataset.of(read_danmaku(spark, source, topic), source="danmaku")
+    return Dataset.of(read_danmaku(spark, source, topic), source="bilibili:danmaku")
 
 
 def normalise_replies(payload: DataFrame, topic: str = "") -> DataFrame:
@@ -70,5 +69,5 @@ def normalise_replies(payload: DataFrame, topic: str = "") -> DataFrame:
 
 def any_adapter(name: str, **paths: Any) -> Adapter:
     """An adapter by name (canonical, nested, flat), with paths replaced."""
-    base = {"canonical": FieldMap(), "nested": NESTED_COMMENTS, "flat": FLAT_COMMENTS}[name]
-    return Adapter(FieldMap.from_dict({**base.__dict__, **paths}), name)
+    base = {"canonical": Adapter(), "nested": nested_comments(), "flat": flat_comments()}[name]
+    return replace(base, field_map=FieldMap.from_dict({**base.field_map.__dict__, **paths}))

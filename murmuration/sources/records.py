@@ -7,24 +7,22 @@ import warnings
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmuration.session import written
+
 
 def with_order(df: DataFrame) -> DataFrame:
     """A file scan with seq, the number of its row in order of file, block and line, dense from 0.
 
-    The rows of each block are counted first, and the counts (one for each block) give where each begins.
+    The rows of each block are counted first; a running sum over the counts, one row a block, says where each begins.
     """
-    spark = df.sparkSession
     rows = df.withColumn("file_", F.input_file_name()).withColumn("block_", F.input_file_block_start()).withColumn("id_", F.monotonically_increasing_id())
-    blocks = rows.groupBy("file_", "block_").agg(F.min("id_").alias("first_"), F.count("*").alias("n")).collect()
-    offsets, at = [], 0
-    for b in sorted(blocks, key=lambda b: (b.file_, b.block_)):
-        offsets.append((b.file_, b.block_, at - b.first_))
-        at += b.n
-    shift = spark.createDataFrame(offsets, "file_ string, block_ long, shift_ long")
-    joined = rows.join(F.broadcast(shift), ["file_", "block_"])
+    blocks = rows.groupBy("file_", "block_").agg(F.min("id_").alias("first_"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_", "block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = written(blocks.select("file_", "block_", (before - F.col("first_")).alias("shift_")), "blocks")
+    joined = rows.join(shift, ["file_", "block_"])
     return joined.withColumn("seq", F.col("id_") + F.col("shift_")).drop("file_", "block_", "id_", "shift_")
 
 
@@ -51,7 +49,7 @@ def bad_lines(parsed: DataFrame) -> DataFrame:
 
 
 def from_dicts(spark: SparkSession, records: Iterable[Any]) -> DataFrame:
-    """(seq, record variant) of records in memory; what isn't a dict has a null record."""
+    """(seq, record variant) of records in memory; what isn't a dict has a null record, what can't be iterated raises TypeError."""
     rows = [(i, json.dumps(r, ensure_ascii=False, default=str) if isinstance(r, dict) else None) for i, r in enumerate(records)]
     return spark.createDataFrame(rows, "seq long, line string").select("seq", F.try_parse_json("line").alias("record"))
 

@@ -1 +1 @@
-"""Part of murmuration."""
+"""Signals over streams of items."""
