@@ -67,13 +67,13 @@ def level_distribution(assessments: DataFrame) -> dict[str, int]:
     return {k: found.get(k, 0) for k in ("clean", "weak", "strong")}
 
 
-def ablations(data: Dataset, item_labels: DataFrame, actor_labels: DataFrame, cfg: Config | None = None, least: str = "weak") -> list[dict[str, Any]]:
-    """Metrics of each set of layers. Hits are found once; each set filters them and scores them anew."""
+def ablations(data: Dataset, item_labels: DataFrame, actor_labels: DataFrame, cfg: Config | None = None, least: str = "weak", sets: tuple = ABLATIONS) -> list[dict[str, Any]]:
+    """Metrics of each set of layers, by default all seven. Hits are found once; each set filters them and scores them anew."""
     base = Pipeline(cfg or Config.default())
     hits = written(base.hits(data), "hits")
     targets = written(base.targets(data), "targets")
     rows = []
-    for name, layers in ABLATIONS:
+    for name, layers in sets:
         began = time.perf_counter()
         off = [f"signals.{s.name}.enabled=false" for s in base.signals if s.kind not in layers]
         _, found = base.score(hits.filter(F.col("kind").isin(*layers)), targets, None)
