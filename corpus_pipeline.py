@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets
-from murmuration.llm.common import read_table, staged
+from murmuration.llm.common import read_table, small_batches, staged
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that fail a rule or that the boosted trees, fitted on labels, reject."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -24,6 +25,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the least doc_id stays."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -34,6 +36,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(staged(packing.cut(docs, bpe.default_path()), "pieces"))
 
 

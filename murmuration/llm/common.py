@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.session import new_path, written as staged
 
-__all__ = ["Filter", "having", "lookup_join", "new_path", "read_table", "staged", "unused"]
+__all__ = ["Filter", "having", "lookup_join", "new_path", "read_table", "released", "small_batches", "staged", "unused"]
 
 #: A key is hot if it holds over one in so many rows; there are fewer than so many of them, whatever the input.
 HOT_KEYS = 1000
 #: Bits of a filter for each key in it, and at most (8 MB); a filter at its bound lets more rows through that aren't looked for.
 FILTER_BITS, FILTER_MOST = 32, 1 << 26
+#: Bytes of an Arrow batch beyond which its next rows go to another one.
+BATCH = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches hold BATCH bytes and a row at most, however long their texts are.
+
+    Spark's own bounds are 10,000 rows and 64 MB; executors and Python workers hold several copies of a batch, and
+    workers keep for later stages what they took once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow or mapInPandas; at a task's end its worker, which waits for others, returns free memory."""
+
+    def over(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps it otherwise
+            if trim:
+                trim(0)
+
+    return over
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, with underscores until no column is called so."""
     taken = {c.lower() for c in columns}

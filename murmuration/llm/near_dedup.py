@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import connected_components
 
-from .common import Filter, having, lookup_join, read_table, staged, unused
+from .common import Filter, having, lookup_join, read_table, released, staged, unused
 from .suffixes import Rolling, Words, hashed
 
 K, SKETCHES, SAMPLED, SIMILARITY = 5, 24, 3, 0.8
@@ -114,7 +114,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(sizes(z), pa.array(np.concatenate(z))) for z in (bands, all_words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(node)), batch.column(1).slice(a, len(node)), pa.array(node, pa.binary()), pa.array(n, pa.int32()), *lists], names=["doc_id", "row", "node", "n", "sketches", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row string, node binary, n int, sketches array<long>, words array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(released(run), "doc_id long, row string, node binary, n int, sketches array<long>, words array<int>")
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, words: DataFrame, name: str, threshold: float = S
                 good[i] = similar(wa, wb, distinct(wa), mine, threshold)
             yield df.loc[good, ["a", "b"]]
 
-    return staged(rows.select("a", "b", "wa", "wb").mapInPandas(check, "a binary, b binary"), name)
+    return staged(rows.select("a", "b", "wa", "wb").mapInPandas(released(check), "a binary, b binary"), name)
 
 
 def _common(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _tokens(words: DataFrame) -> DataFrame:
                 token = np.concatenate(found).view(np.int64) if len(found) else np.zeros(0, np.int64)
                 yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "n": np.repeat(n, n), "token": token})
 
-    return words.select("node", "words").mapInPandas(run, "node binary, n int, token long")
+    return words.select("node", "words").mapInPandas(released(run), "node binary, n int, token long")
 
 
 def _rare(words: DataFrame, threshold: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
-from .common import read_table, staged, unused
+from .common import read_table, released, staged, unused
 
 SEQUENCE = 2048
 
@@ -46,7 +46,7 @@ def cut(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = 0) -> Da
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(released(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(counts: dict[int, int], size: int = SEQUENCE) -> np.ndarray:

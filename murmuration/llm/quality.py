@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, released
 
 #: Labelled rows that the trees are fitted on, at most: those with the smallest hash of doc_id. Everything else covers all rows.
 FIT_ROWS = 20_000
@@ -145,7 +145,7 @@ def _stats(docs: DataFrame, extra: list[str], score=None) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = [f"`{c}` {kinds[c]}" for c in extra] + [f"{c} long" for c in BASE] + ([f"{c} double" for c in FEATURES] if score is None else ["quality_score double"])
-    return docs.select(*extra, F.col("text").cast("string").alias("text_")).mapInArrow(run, ", ".join(columns))
+    return docs.select(*extra, F.col("text").cast("string").alias("text_")).mapInArrow(released(run), ", ".join(columns))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame, trees: Trees, least_score: float = 0.0) -> DataFr
             good = (base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0]) & (trees.score(x) >= least_score if len(x) else np.zeros(0, bool))
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

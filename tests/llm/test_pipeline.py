@@ -1,16 +1,19 @@
 """The corpus pipeline, stage by stage, against plain Python."""
 
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from murmuration.llm import bpe, quality  # noqa: E402
+from murmuration.llm import bpe, common, quality  # noqa: E402
 from tests.llm.test_files import spans_by_hand  # noqa: E402
 from tests.llm.test_near_dedup import all_pairs, copies  # noqa: E402
 
@@ -85,3 +88,41 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, f"file://{tmp_path}")
         assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_stages_bound_what_goes_to_python_at_once(spark, tmp_path):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").limit(0)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    long_texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality rules", "near-dedup", "best-fit packing"):
+            spark.conf.unset(key)
+            stage(spark, docs, f"file://{tmp_path}")
+            found = long_texts.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in found) == 2000 and max(r.size for r in found) < 1.1 * common.BATCH, name
+    spark.conf.unset(key)
+
+
+def test_released_returns_free_memory():
+    kept = []
+
+    def run(numbers):
+        for n in numbers:
+            parts = [bytes(1000) for _ in range(n)]
+            kept.append(parts[-1])  # what lies below stays with the process otherwise
+            yield len(parts)
+
+    def mb():
+        return int(re.search(r"Anonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    assert list(common.released(run)(iter([]))) == []  # what tests before left
+    before, it = mb(), common.released(run)(iter([100_000]))
+    assert next(it) == 100_000 and mb() - before > 80
+    assert list(it) == [] and mb() - before < 30
