@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.session import new_path, written as staged
+from murmuration.session import drop, new_path, written as staged
 
-__all__ = ["Filter", "having", "lookup_join", "new_path", "read_table", "released", "small_batches", "staged", "unused"]
+__all__ = ["Filter", "drop", "having", "lookup_join", "new_path", "read_table", "released", "small_batches", "staged", "tidy_shuffles", "unused"]
 
 #: A key is hot if it holds over one in so many rows; there are fewer than so many of them, whatever the input.
 HOT_KEYS = 1000
@@ -34,6 +35,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go as it ends; else they stay until the driver happens to collect its garbage.
+
+    For writes: what is read again would be shuffled again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a function for mapInArrow or mapInPandas; at a task's end its worker, which waits for others, returns free memory."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import connected_components
 
-from .common import lookup_join, read_table, staged
+from .common import Filter, drop, lookup_join, read_table, staged, tidy_shuffles
 
 LEAST, GRAM, WINDOW = 50, 8, 16
 U = np.uint64
@@ -139,18 +139,23 @@ def shared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
     rows: keys (one or two), doc, at. Links (doc, other) join the documents of each key, not each with each. Rows are
     range-sorted by keys and doc, so a hot key spreads over tasks. A task holds the rows of one document and key at most.
-    The first and the last run of a task may go on in others: four markers a task tell whether they do.
+    The first and the last run of a task may go on in others: four markers a task tell whether they do. Of what is written,
+    only the result stays, and keys only in rows whose run may go on.
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.columns[:-2]
-    ordered = staged(rows, name).repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
+    with tidy_shuffles(spark):
+        table = staged(rows, name)
+    ordered = table.repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
     matched, undecided, marker = 0, 1, 2
     names = ["kind", *keys, "doc", "at", "other"]
 
     def out(kind: int, columns: list[np.ndarray], where: slice | np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
         part = [c[where] for c in columns]
         n = len(part[0])
-        arrays = [pa.array(np.full(n, kind, np.int8)), *(pa.array(c) for c in part[:-1]), pa.array(part[-1].astype(np.int32)), pa.array(part[-2] if other is None else other)]
+        of_keys = [pa.nulls(n, pa.int64()) if kind == matched else pa.array(c) for c in part[:-2]]
+        arrays = [pa.array(np.full(n, kind, np.int8)), *of_keys, pa.array(part[-2]), pa.array(part[-1].astype(np.int32)), pa.array(part[-2] if other is None else other)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,9 @@ def shared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
             yield out(marker, last, slice(None))
 
     kinds = "kind byte, " + "".join(f"{k} long, " for k in keys) + "doc long, at int, other long"
-    found = staged(ordered.mapInArrow(compare, kinds), name + "-matched")
+    with tidy_shuffles(spark):
+        found = staged(ordered.mapInArrow(compare, kinds), name + "-matched")
+    drop(table)
     # several rows a task at most: the documents of the keys at the borders of tasks, of which two tell enough
     markers = found.filter(F.col("kind") == marker)
     ends = staged(markers.groupBy(*keys).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select(*keys, "a"), name + "-ends")
@@ -212,7 +219,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, win
     rows = _documents(docs)
     found, _ = shared(suffixes(rows, least, gram, window), "suffixes")
     places = staged(found.groupBy("doc").agg(F.collect_list("at").alias("at")), "places")
-    extended, links = shared(windows(rows.join(places, "doc"), least, window), "windows")
+    texts = Filter(places, "doc").split(rows, "doc")[1]  # most without a match don't move
+    extended, links = shared(windows(texts.join(places, "doc"), least, window), "windows")
     spans = extended.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -51,13 +53,26 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df through the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that written() returned, once nothing reads it any more, nor what is made of it lazily."""
+    path = _paths.pop(table)
+    _delete(table.sparkSession, path)
+    _written.remove(path)
 
 
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables that this process has written to the shared folder, once nothing reads them; returns how many."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n

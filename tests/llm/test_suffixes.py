@@ -1,10 +1,13 @@
 """Repeated passages against brute force over all windows of words."""
 
 import random
+import time
 
 import pytest
 
+from murmuration import session
 from murmuration.llm import suffixes
+from murmuration.llm.common import staged, tidy_shuffles
 
 
 def brute(docs, least):
@@ -70,3 +73,40 @@ def test_odd_rows(spark):
     rows = [(big, same), (None, same), (5, None), (6, ""), (7, "a b")]
     found = {r.doc_id: (r.spans, r.class_id, r.class_size) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {big: ("0:60", big, 2), None: ("0:60", big, 2), 5: ("", 5, 1), 6: ("", 6, 1), 7: ("", 7, 1)}
+
+
+def test_disk(spark, tmp_path, monkeypatch):
+    """Tables that were sorted are gone, those that stay hold no keys of runs that are settled, and the session's setting is as before."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 9999)}"
+    long = [word() for _ in range(400)]
+    docs = {i: long[i:] if i < 6 else [word() for _ in range(80)] for i in range(12)}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = {r.doc_id: (r.spans, r.class_id) for r in suffixes.repeated_passages(table).collect()}
+    assert found == brute(docs, 50)
+    assert spark.conf.get(key, None) == before
+    kept = {p.name.rpartition("-")[0]: str(p) for p in tmp_path.iterdir()}
+    assert not {"suffixes", "windows"} & set(kept)
+    matched = spark.read.parquet(kept["windows-matched"])
+    assert matched.filter("kind = 0").count() > 1500
+    assert matched.filter("kind = 0 and (key is not null or `check` is not null)").isEmpty()
+    assert matched.filter("kind <> 0 and (key is null or `check` is null)").isEmpty()
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """Without the driver's collector: a write's shuffle is gone as it ends."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {b.name() for b in (x.apply(i) for x in [blocks.getAllBlocks()] for i in range(x.size())) if b.name().startswith("shuffle_")}
+
+    there = files()
+    with tidy_shuffles(spark):
+        staged(spark.range(1000).repartition(3, "id"), "tidy")
+    until = time.time() + 20  # executors delete them on their own time
+    while files() - there and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - there
