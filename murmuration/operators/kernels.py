@@ -69,11 +69,20 @@ def shares_run(a: str, b: str, ratio: float) -> bool:
 def shares_run_udf(a: Column, b: Column, ratio: float) -> Column:
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([shares_run(p, q, ratio) for p, q in zip(x, y)], dtype="bool")
+        return pd.Series([p is not None and q is not None and shares_run(p, q, ratio) for p, q in zip(x, y)], dtype="bool")
 
     return run(a, b)
 
 
+def sliding_least(h: np.ndarray, window: int) -> np.ndarray:
+    """The least of each run of window values, in a time that doesn't depend on window: a run is the end of a block and the start of the next."""
+    blocks = np.pad(h, (0, -len(h) % window), mode="edge").reshape(-1, window)
+    heads = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    tails = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    n = len(h) - window + 1
+    return np.minimum(tails[:n], heads[window - 1 : window - 1 + n])
+
+
 def anchors(text: str, ratio: float) -> list[tuple[int, int]]:
     """(scale, hash) keys of which two texts share one if they share a run of ratio of the longer one's length.
 
@@ -100,8 +109,7 @@ def anchors(text: str, ratio: float) -> list[tuple[int, int]]:
         h = (sums[starts + gram] - sums[starts]) * back[starts]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         window = run - gram + 1
-        at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
-        out += [(scale, int(x)) for x in np.unique(h[np.unique(at)]).view(np.int64)]
+        out += [(scale, int(x)) for x in np.unique(sliding_least(h, window)).view(np.int64)]
         scale += 1
     return out
 

@@ -15,6 +15,7 @@ from murmuration.functions.matching import find_all, scan_expressions, scan_fold
 from murmuration.operators import account_signals, coordination, text_signals
 from murmuration.operators.graph import listed_communities, listed_components, listed_density, overlap_edges
 from murmuration.operators.hits import Context, build_signals
+from murmuration.operators.kernels import shares_run_udf, simhash_udf
 from murmuration.operators.overlap import Overlaps
 from murmuration.plans import evaluate, report
 from murmuration.plans.pipeline import Pipeline
@@ -388,8 +389,6 @@ def signal_cooccur(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("simhash_fingerprints")
 def simhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    from murmuration.operators.kernels import simhash_udf
-
     return _tokens(spark, folder).select("item_id", simhash_udf(F.col("tok")).alias("print"))
 
 
@@ -406,7 +405,8 @@ def simhash_pairs_md5(spark: SparkSession, folder: str) -> DataFrame:
 SELECT topic, a, b FROM p WHERE length(s) >= k AND length(t) >= k AND list_has_any(list_transform(range(1, length(s) - k + 2), lambda i: substr(s, i, k)), list_transform(range(1, length(t) - k + 2), lambda i: substr(t, i, k)))""")
 def copy_pairs(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.table(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("topic"), "turn", "text")
-    return rows.alias("x").join(rows.alias("y"), "topic").filter("x.turn < y.turn").filter(T.shares_run(F.col("x.text"), F.col("y.text"), 0.05)).select("topic", F.col("x.turn").alias("a"), F.col("y.turn").alias("b"))
+    x = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "topic").alias("x")
+    return x.join(rows.alias("y"), "topic").filter("x.turn < y.turn").filter(shares_run_udf(F.col("x.text"), F.col("y.text"), 0.05)).select("topic", F.col("x.turn").alias("a"), F.col("y.turn").alias("b"))
 
 
 @query("signal_cluster")
