@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.functions import bigrams as B
 from murmuration.functions import text as T
 from murmuration.functions.matching import scan_expressions, scan_folded, scan_phrases
 from murmuration.functions.scalars import clamp
@@ -32,10 +33,11 @@ def repeated_phrases(toks: Column, n: int, most: int = 3) -> Column:
 @register("text.template", ITEM, "One text repeats the same n-grams")
 def template(c: Context) -> DataFrame:
     n, weak, strong = c.whole("n", 3), c.number("weak", 0.22), c.number("strong", 0.42)
-    found = T.let(T.tokens(F.col("text"), c.rules.stopwords), lambda t: F.struct(t.alias("tokens"), T.repeat_ratio(t, n).alias("ratio")))
-    repeats = lambda m: (F.size(m["tokens"]) >= c.whole("min_tokens", 12)) & (m["ratio"] >= weak)
-    rows = c.data.items.select("item_id", T.once(found, repeats).alias("m")).select("item_id", "m.*")
-    evidence = F.struct(F.round("ratio", 4).alias("repeat_ratio"), F.size("tokens").alias("tokens"), repeated_phrases(F.col("tokens"), n).alias("repeated_phrases"))
+    rows = c.data.items.select("item_id", "text", B.repetition(F.col("text"), n, c.rules.stopwords).alias("m")).select("item_id", "text", F.col("m.n").alias("size"), "m.ratio")
+    rows = rows.filter((F.col("size") >= c.whole("min_tokens", 12)) & (F.col("ratio") >= weak))
+    # phrases are sought in the texts that repeat, and only where evidence is used
+    phrases = repeated_phrases(T.tokens(F.col("text"), c.rules.stopwords), n)
+    evidence = F.struct(F.round("ratio", 4).alias("repeat_ratio"), F.col("size").alias("tokens"), phrases.alias("repeated_phrases"))
     reason = F.concat(F.lit(f"Highly templated text ({n}-gram repetition "), percent(F.col("ratio")), F.lit(")"))
     return make_hits(rows, "text.template", c.params, ITEM, F.col("item_id"), strong_if(F.col("ratio") >= strong), clamp(F.col("ratio") / max(strong, 1e-6), 0.3, 1.0), reason, evidence)
 

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.config import Config
+from murmuration.functions import bigrams as B
 from murmuration.functions import scalars as S
 from murmuration.functions import text as T
 from murmuration.functions.matching import find_all, scan_expressions, scan_folded, scan_phrases
 from murmuration.operators import account_signals, coordination, text_signals
 from murmuration.operators.graph import listed_communities, listed_components, listed_density, overlap_edges
 from murmuration.operators.hits import Context, build_signals
-from murmuration.operators.kernels import shares_run_udf, simhash_udf
+from murmuration.operators.kernels import shares_run_udf
 from murmuration.operators.overlap import Overlaps
 from murmuration.plans import evaluate, report
 from murmuration.plans.pipeline import Pipeline
@@ -75,10 +76,6 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.documents(spark, folder).items
 
 
-def _tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _docs(spark, folder).select("item_id", T.tokens(F.col("text"), LATIN.stopwords).alias("tok"))
-
-
 @query("normalize_text", f"WITH {DOCS} SELECT item_id, length(norm) AS n, md5(norm) AS digest FROM d")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("item_id", T.normalize(F.col("text")).alias("x")).select("item_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
@@ -91,19 +88,19 @@ def fold_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("char_bigrams", f"WITH {TOKENS} SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM t) GROUP BY token")
 def char_bigrams(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).select(F.explode("tok").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return B.token_counts(_docs(spark, folder), LATIN.stopwords)
 
 
 @query("ngram_repeat_ratio", f"WITH {RATIO} SELECT item_id, round(ratio, 6) AS ratio FROM r")
 def ngram_repeat_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).select("item_id", F.round(T.repeat_ratio(F.col("tok")), 6).alias("ratio"))
+    return _docs(spark, folder).select("item_id", F.round(B.repetition(F.col("text"), 3, LATIN.stopwords)["ratio"], 6).alias("ratio"))
 
 
 @query("token_entropy", f"""WITH {TOKENS}, u AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(tok) AS token FROM t) GROUP BY ALL),
 e AS (SELECT item_id, sum(n) AS s, sum(n * log2(n)) AS l FROM u GROUP BY item_id)
 SELECT t.item_id, round(coalesce(log2(s) - l / s, 0), 6) AS entropy FROM t LEFT JOIN e USING (item_id)""")
 def token_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).select("item_id", F.round(T.entropy(F.col("tok")), 6).alias("entropy"))
+    return _docs(spark, folder).select("item_id", F.round(B.entropy(F.col("text"), LATIN.stopwords), 6).alias("entropy"))
 
 
 CHARS = f"""{DOCS}, u AS (SELECT item_id, unnest(ch) AS x, unnest(range(1, len(ch) + 1)) AS i FROM (SELECT item_id, list_filter(string_split(compact, ''), lambda x: x <> '') AS ch FROM d)),
@@ -389,7 +386,7 @@ def signal_cooccur(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("simhash_fingerprints")
 def simhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).select("item_id", simhash_udf(F.col("tok")).alias("print"))
+    return _docs(spark, folder).select("item_id", B.simhash(F.col("text"), LATIN.stopwords).alias("print"))
 
 
 @query("simhash_pairs_md5", """WITH c AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '\\s+', '', 'g'), ''), lambda x: x <> '') AS ch FROM conversations),
@@ -504,7 +501,7 @@ def _text_assessed(spark: SparkSession, folder: str) -> DataFrame:
         hits = hits.unionByName(_hits(name, data))
     pipeline = Pipeline(Config.default(), LATIN)
     targets = data.items.select(F.lit("item").alias("target_kind"), F.col("item_id").alias("target"))
-    return pipeline.scorer.assess(hits, targets)
+    return pipeline.scorer.levels(hits, targets)
 
 
 # ---- evaluation ----
@@ -516,7 +513,7 @@ SELECT count(*) FILTER (is_gold AND said) AS tp, count(*) FILTER (NOT is_gold AN
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
     data = tables.documents(spark, folder)
     targets = data.items.select(F.lit("item").alias("target_kind"), F.col("item_id").alias("target"))
-    found = Pipeline(Config.default(), LATIN).scorer.assess(_hits("text.template", data), targets)
+    found = Pipeline(Config.default(), LATIN).scorer.levels(_hits("text.template", data), targets)
     labels = tables.table(spark, folder, "labels").groupBy(F.col("doc_id").cast("string").alias("target")).agg(F.max(F.col("quality") == 0).alias("positive"))
     return evaluate.confusion(found, labels, "item")
 

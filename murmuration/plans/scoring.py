@@ -63,6 +63,11 @@ class Scorer:
         promoted = (by_score == CLEAN) & F.coalesce("any_strong", F.lit(False))
         return rows.withColumn("promoted", promoted).withColumn("level", F.when(promoted, F.lit(WEAK)).otherwise(by_score))
 
+    def levels(self, hits: DataFrame, targets: DataFrame) -> DataFrame:
+        """(target_kind, target, exact_score, level, n_hits) as assess() gives them, without the hits: their texts aren't made, and sums fold before they move."""
+        rows = targets.select("target_kind", "target").distinct().join(self.totals(hits), ["target_kind", "target"], "full")
+        return self.judged(rows).select("target_kind", "target", "exact_score", "level", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+
     def assess(self, hits: DataFrame, targets: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
         """An assessment a target: target_kind, target, label, score, level, bonus, promoted, hits, breakdown, n_hits.
 
