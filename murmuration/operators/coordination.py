@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.functions import bigrams as B
 from murmuration.functions import text as T
 from murmuration.functions.scalars import clamp, isoformat, micros
 from murmuration.operators.graph import listed_communities, listed_density
 from murmuration.operators.hits import GROUP, Context, make_hits, percent, register, strong_if
-from murmuration.operators.kernels import anchors_udf, greedy_clusters, shares_run_udf, simhash_udf
+from murmuration.operators.kernels import anchors_udf, greedy_copies, shares_run_udf
 from murmuration.operators.overlap import Overlaps
 from murmuration.session import written
 from murmuration.sources.dataset import Dataset
@@ -76,24 +77,34 @@ def burst(c: Context) -> DataFrame:
 
 
 def cluster_candidates(data: Dataset, min_chars: int, max_per_topic: int | None) -> DataFrame:
-    """(topic, rank, item_id, actor_id, text) of texts of min_chars or more, ranked by input order within their topic.
+    """(topic, rank, item_id, actor_id, text) of texts of min_chars or more, ranked by input order within their topic; to be
+    written at once.
 
-    max_per_topic: only the first ones of each topic (None: all).
+    max_per_topic: only the first ones of each topic (None: all, which are dealt out by range, whatever their topics).
     """
-    rows = data.items.filter(F.length(T.strip(F.col("text"))) >= min_chars)
-    rank = F.row_number().over(Window.partitionBy(data.topic_key()).orderBy("seq", "item_id"))
-    found = rows.select(data.topic_key().alias("topic"), rank.alias("rank"), "item_id", "actor_id", "text")
-    return found if max_per_topic is None else found.filter(F.col("rank") <= max_per_topic)
+    rows = data.items.filter(F.length(T.strip(F.col("text"))) >= min_chars).withColumn("topic", data.topic_key())
+    if max_per_topic is None:
+        return rows.select("topic", "seq", "item_id", "actor_id", "text").orderBy("topic", "seq", "item_id").select("topic", F.monotonically_increasing_id().alias("rank"), "item_id", "actor_id", "text")
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy("seq", "item_id")).cast("long")
+    return rows.select("topic", rank.alias("rank"), "item_id", "actor_id", "text").filter(F.col("rank") <= max_per_topic)
+
+
+def equal_texts(candidates: DataFrame) -> DataFrame:
+    """(topic, rank, first, copies): the rank of the first candidate of the topic with the same text, and how many have it."""
+    rows = candidates.select("topic", "rank", F.sha2("text", 256).alias("digest"))
+    classes = rows.groupBy("topic", "digest").agg(F.min("rank").alias("first"), F.count("*").alias("copies"))
+    return rows.join(classes, ["topic", "digest"]).select("topic", "rank", "first", "copies")
 
 
 def similar_pairs(candidates: DataFrame, stopwords: frozenset[str], similarity: float, lcs_ratio: float) -> DataFrame:
-    """(topic, i, j) of ranks i < j whose fingerprints are similar and whose texts share a long run.
+    """(topic, i, j) of ranks i < j whose fingerprints are similar and whose texts share a long run, and (topic, i, i) of
+    texts that would be so with a copy.
 
     Texts meet by topic and anchor, which texts with such a run share, and not by topic alone. The cheap bit count is part
     of the join; only pairs that pass it fetch their texts.
     """
     shown = ["topic", "rank", "print", F.length("text").alias("size")]
-    prints = written(candidates.withColumn("print", simhash_udf(T.tokens(F.col("text"), stopwords))).select(*shown, anchors_udf(F.col("text"), lcs_ratio).alias("anchors")), "prints")
+    prints = written(candidates.withColumn("print", B.simhash(F.col("text"), stopwords)).select(*shown, anchors_udf(F.col("text"), lcs_ratio).alias("anchors")), "prints")
     keyed = prints.select("topic", "rank", "print", "size", F.explode("anchors").alias("k")).select("topic", "rank", "print", "size", "k.scale", "k.hash")
     side = lambda x: keyed.select("topic", "scale", "hash", F.col("rank").alias(x), F.col("print").alias(f"print_{x}"), F.col("size").alias(f"size_{x}"))
     most = next(d for d in range(64, -1, -1) if 1 - d / 64 >= similarity) if similarity > 0 else 64
@@ -103,19 +114,30 @@ def similar_pairs(candidates: DataFrame, stopwords: frozenset[str], similarity:
     met = side("i").join(side("j"), ["topic", "scale", "hash"]).filter((F.col("i") < F.col("j")) & near & fits).select("topic", "i", "j").distinct()
     texts = lambda x: candidates.select("topic", F.col("rank").alias(x), F.col("text").alias(f"text_{x}"))
     pairs = met.join(texts("i"), ["topic", "i"]).join(texts("j"), ["topic", "j"])
-    return pairs.filter(shares_run_udf(F.col("text_i"), F.col("text_j"), lcs_ratio)).select("topic", "i", "j")
+    found = pairs.filter(shares_run_udf(F.col("text_i"), F.col("text_j"), lcs_ratio)).select("topic", "i", "j")
+    alike = (F.col("size") > 0) & F.lit(lcs_ratio <= 1) & ((F.col("print") != 0) | F.lit(similarity <= 0))
+    return found.union(prints.filter(alike).select("topic", F.col("rank").alias("i"), F.col("rank").alias("j")))
 
 
 def clusters(data: Dataset, stopwords: frozenset[str], similarity: float, lcs_ratio: float, min_cluster: int, min_actors: int, min_chars: int, max_per_topic: int | None) -> DataFrame:
-    """(topic, leader, size, actors, item_ids, sample) of clusters by a greedy pass in input order within each topic."""
-    candidates = written(cluster_candidates(data, min_chars, max_per_topic), "candidates")
-    pairs = similar_pairs(candidates, stopwords, similarity, lcs_ratio)
+    """(topic, leader, size, actors, item_ids, sample) of clusters by a greedy pass in input order within each topic.
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_clusters(list(zip(df["i"], df["j"])), min_cluster)
-        return pd.DataFrame({"topic": df["topic"].iloc[0], "leader": pd.Series([a for a, _ in found], dtype="int32"), "rank": pd.Series([b for _, b in found], dtype="int32")})
-
-    taken = pairs.groupBy("topic").applyInPandas(run, "topic string, leader int, rank int")
+    Equal texts are compared once, by the first of them.
+    """
+    candidates = written(cluster_candidates(data, min_chars, max_per_topic), "candidates")
+    copies = written(equal_texts(candidates), "copies")
+    firsts = candidates.join(copies.filter("rank = first").select("topic", "rank"), ["topic", "rank"])
+    pairs = similar_pairs(firsts, stopwords, similarity, lcs_ratio)
+    alone = copies.filter("rank = first and copies = 1").select("topic", F.col("rank").alias("i"), F.col("rank").alias("j"))
+    pairs = written(pairs.join(alone, ["topic", "i", "j"], "left_anti"), "pairs")
+    linked = pairs.select("topic", F.explode(F.array("i", "j")).alias("first")).distinct()
+    members = copies.join(linked, ["topic", "first"]).select("topic", "first", "rank")
+
+    def run(links: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+        found = greedy_copies(list(zip(links["i"], links["j"])), list(zip(ranks["first"], ranks["rank"])), min_cluster)
+        return pd.DataFrame({"topic": links["topic"].iloc[0] if len(links) else "", "leader": pd.Series([a for a, _ in found], dtype="int64"), "rank": pd.Series([b for _, b in found], dtype="int64")})
+
+    taken = pairs.groupBy("topic").cogroup(members.groupBy("topic")).applyInPandas(run, "topic string, leader long, rank long")
     rows = taken.join(candidates, ["topic", "rank"]).groupBy("topic", "leader")
     in_order = F.array_sort(F.collect_list(F.struct("rank", "item_id")))
     rows = rows.agg(F.count("*").alias("size"), F.array_sort(F.collect_set("actor_id")).alias("actors"), F.transform(in_order, lambda x: x["item_id"]).alias("item_ids"), F.min_by("text", "rank").alias("sample"))

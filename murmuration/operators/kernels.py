@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -145,6 +146,36 @@ def greedy_clusters(edges: list[tuple[int, int]], least: int) -> list[tuple[int,
     return out
 
 
+def greedy_copies(links: list[tuple[int, int]], members: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """greedy_clusters() over ranks of which some have copies, without an edge for each pair of them.
+
+    links (i, j): all copies of i have edges to all of j; (i, i): copies of i to one another. members: (first, rank) of each.
+    """
+    near: dict[int, set[int]] = defaultdict(set)
+    for i, j in links:
+        near[i].add(j)
+        near[j].add(i)
+    left: dict[int, list[int]] = defaultdict(list)
+    of = {}
+    for first, rank in sorted(members, key=lambda m: m[1]):
+        left[first].append(rank)
+        of[rank] = first
+    visited: set[int] = set()
+    out = []
+    for i, first in of.items():
+        if i in visited:
+            continue
+        later = [(c, at) for c in near[first] if (at := bisect_right(left[c], i)) < len(left[c])]
+        size = 1 + sum(len(left[c]) - at for c, at in later)
+        if later and size >= least:
+            group = sorted(j for c, at in later for j in left[c][at:])
+            for c, at in later:
+                del left[c][at:]
+            visited.update(group)
+            out += [(i, j) for j in (i, *group)]
+    return out
+
+
 def list_propagation(ids: np.ndarray, near: list[np.ndarray], sweeps: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Communities by in-place label propagation: nodes in order take their neighbours' most frequent label, the least of
     even ones, until a sweep changes nothing; each community is named by its least member.
