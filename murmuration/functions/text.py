@@ -47,10 +47,16 @@ def normalize(c: Column) -> Column:
     return strip(x)
 
 
+def compact(c: Column) -> Column:
+    """The normalised text without white space, which needn't be evened out first."""
+    return without_space(F.translate(F.coalesce(c, F.lit("")), FULL + ZERO_WIDTH, HALF))
+
+
 def fold(c: Column, mapping: dict[str, str]) -> Column:
     """For matching only: variants become what they stand for, letters become small, and all but CJK, letters and digits goes."""
-    x = normalize(c)
     single = {k: v for k, v in mapping.items() if len(k) == 1}
+    # white space goes in any case, unless it stands for something
+    x = normalize(c) if any(k in BLANKS for k in single) else F.translate(F.coalesce(c, F.lit("")), FULL + ZERO_WIDTH, HALF)
     plain = {k: v for k, v in single.items() if len(v) == 1 and (v == v.lower()) and ("一" <= v <= "鿿" or v in "abcdefghijklmnopqrstuvwxyz0123456789")}
     variants = lambda c: F.translate(c, "".join(plain), "".join(plain.values())) if plain else c
     x = variants(x)
@@ -85,7 +91,7 @@ def tokens(c: Column, stopwords: Iterable[str] = ()) -> Column:
     """Character bigrams of the normalised text without white space (a lone character is a token), less stopwords."""
     # a look-ahead at each place takes two characters without using them up
     pairs = lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1))
-    found = let(without_space(normalize(c)), lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(pairs(t)))
+    found = let(compact(c), lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(pairs(t)))
     stop = sorted({w for w in stopwords if len(w) <= 2})
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 

@@ -48,7 +48,7 @@ def repeated_characters(text: Column) -> Column:
     def measures(t: Column) -> Column:
         return T.let(T.top_char(t), lambda top: F.struct(F.length(t).alias("size"), top.alias("top"), T.max_run(t).alias("run"), F.coalesce(top["n"] / F.length(t), F.lit(0.0)).alias("ratio")))
 
-    return T.let(T.without_space(T.normalize(text)), measures)
+    return T.let(T.compact(text), measures)
 
 
 def repetition_measures(items: DataFrame) -> DataFrame:

@@ -61,3 +61,13 @@ def test_columns(spark, texts):
     assert [r.s for r in found] == [simhash(t) for t in want]
     counted = {r.token: r.n for r in B.token_counts(rows, STOP).collect()}
     assert counted == Counter(t for x in want for t in x)
+
+
+def test_compact_and_fold_by_fewer_steps(spark, texts):
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    c = F.col("text")
+    whole = lambda c: F.regexp_replace(F.translate(F.lower(F.translate(T.normalize(c), "é0", "eo")), "é0", "eo"), r"[^一-鿿a-z0-9]+", "")
+    for r in rows.select(T.compact(c).alias("a"), T.without_space(T.normalize(c)).alias("b"), T.fold(c, {"é": "e", "0": "o"}).alias("x"), whole(c).alias("y")).collect():
+        assert r.a == r.b and r.x == r.y
+    plan = rows.select(T.fold(c, {"é": "e"}).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1
